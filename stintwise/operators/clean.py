@@ -28,7 +28,7 @@ def clean_lines(df: DataFrame, rank: str = "Rk", name: str = "Player") -> DataFr
 def blank_to_zero(df: DataFrame, cols: list[str], to: str = "double",
                   fill: float | None = 0.0) -> DataFrame:
     """Blank numeric text -> ``fill`` (0 by default, as the reference does)."""
-    return df.withColumns({c: _blank_to_zero(c, to, fill) for c in cols})
+    return df.withColumns({c: _blank_to_zero(F.col(f"`{c}`"), to, fill) for c in cols})
 
 
 def typed_parse(df: DataFrame, types: dict[str, str], fill: float | None = 0.0,
@@ -38,17 +38,21 @@ def typed_parse(df: DataFrame, types: dict[str, str], fill: float | None = 0.0,
     Text that does not parse becomes NULL instead of failing the job, and
     the number of such fields per row is counted in ``reject_col``.
     """
-    out = df.withColumns({c: _blank_to_zero(c, t, fill) for c, t in types.items()})
-    if reject_col:
-        bad = [
-            F.when(F.trim(df[c]).isNotNull() & (F.trim(df[c]) != "") & out[c].isNull(), 1).otherwise(0)
-            for c in types
-        ]
+    cols, bad = [], []
+    for name in df.columns:
+        raw = F.col(f"`{name}`")
+        if name not in types:
+            cols.append(raw)
+            continue
+        cols.append(_blank_to_zero(raw, types[name], fill).alias(name))
+        text = F.nullif(F.trim(raw), F.lit(""))
+        bad.append(F.when(text.isNotNull() & text.try_cast(types[name]).isNull(), 1).otherwise(0))
+    if reject_col and bad:
         total = bad[0]
         for b in bad[1:]:
             total = total + b
-        out = out.withColumn(reject_col, total.cast("bigint"))
-    return out
+        cols.append(total.cast("bigint").alias(reject_col))
+    return df.select(*cols)
 
 
 def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,269 @@
-"""Registered queries for cleaning, careers compared, and prediction."""
+"""Registered queries for cleaning, the CSV path, compared careers and
+prediction (see ``queries.py`` for the conventions)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import clean, explore, predict, similar
+from ..operators.clean import dedupe_prefer_total
+from ..session import scratch_path
+from ..sources import csv as csvsrc
+from ..sources.tables import load, season_records
+from ..spec import CSV_FIELDS, CUSTOMER, SUPPLIER
+from . import oracle as O
+from . import season_tables as st
+from .queries import LAST, _ml_sql, _roster_sql, register
+
+C, S = CUSTOMER, SUPPLIER
+
+
+# --- cleaning (dirty text made from every customer row) --------------------
+
+def dirty_names(spark, sf_dir):
+    """Customer names with the reference's dirt: a '*' mark, a '\\id'
+    suffix, repeated header lines and blank lines among the rows."""
+    cust = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    player = F.concat(
+        F.col("c_name"),
+        F.when(k % 3 == 0, F.lit("*")).otherwise(F.lit("")),
+        F.when(k % 5 == 0, F.concat(F.lit("\\id"), k.cast("string"))).otherwise(F.lit("")))
+    rows = cust.select(k.cast("string").alias("Rk"), player.alias("Player"))
+    headers = cust.filter(k % 10 == 0).select(F.lit("Rk").alias("Rk"), F.lit("Player").alias("Player"))
+    blanks = cust.filter(k % 15 == 0).select(F.lit(None).cast("string").alias("Rk"),
+                                             F.lit(None).cast("string").alias("Player"))
+    return rows.unionByName(headers).unionByName(blanks)
+
+
+@register("clean_lines", "SELECT CAST(c_custkey AS BIGINT) AS Rk, c_name AS Player FROM customer")
+def q_clean_lines(spark, sf_dir):
+    out = clean.clean_lines(dirty_names(spark, sf_dir), rank="Rk", name="Player")
+    return out.select(F.col("Rk").try_cast("bigint").alias("Rk"), "Player")
+
+
+def _acct_text(k, blank_every=4, space_every=7):
+    return (F.when(k % blank_every == 0, F.lit(""))
+            .when(k % space_every == 0, F.lit("  "))
+            .otherwise(F.col("c_acctbal").cast("string")))
+
+
+@register("blank_to_zero", """
+SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 OR c_custkey % 7 = 0 THEN 0.0 ELSE c_acctbal END AS acctbal
+FROM customer""", ["acctbal"])
+def q_blank_to_zero(spark, sf_dir):
+    cust = load(spark, sf_dir, "customer")
+    text = cust.select("c_custkey", _acct_text(F.col("c_custkey")).alias("acctbal"))
+    return clean.blank_to_zero(text, ["acctbal"])
+
+
+@register("typed_parse", """
+SELECT c_custkey,
+  CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_nationkey END AS nationkey,
+  CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_acctbal END AS acctbal,
+  CAST(CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS rejects
+FROM customer""", ["acctbal"])
+def q_typed_parse(spark, sf_dir):
+    cust = load(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    text = cust.select(
+        "c_custkey",
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.col("c_nationkey").cast("string")).alias("nationkey"),
+        F.when(k % 6 == 0, F.lit("n/a")).when(k % 4 == 0, F.lit(""))
+        .otherwise(F.col("c_acctbal").cast("string")).alias("acctbal"))
+    out = clean.typed_parse(text, {"nationkey": "int", "acctbal": "double"})
+    return out.select("c_custkey", F.col("nationkey").cast("bigint").alias("nationkey"),
+                      "acctbal", "rejects")
+
+
+@register("nan_to_null", """
+SELECT c_custkey, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE c_acctbal END AS acctbal FROM customer""",
+          ["acctbal"])
+def q_nan_to_null(spark, sf_dir):
+    cust = load(spark, sf_dir, "customer")
+    v = F.when(F.col("c_custkey") % 8 == 0, F.lit(float("nan"))).otherwise(F.col("c_acctbal"))
+    return clean.nan_to_null(cust.select("c_custkey", v.alias("acctbal")))
+
+
+# --- the CSV path: customer seasons written as season files, read back -----
+
+# Which record column fills which CSV field ('' = left blank).
+_CSV_MAP = {
+    "Pos": None, "Age": "age", "Tm": "team", "G": "gp", "FG": "m1", "FGA": "att1",
+    "FG%": "pct1", "3P": "m2", "2P": "m3", "2PA": "m4", "FT": "m5", "FTA": "att2",
+    "FT%": "pct2", "TOV": "neg1", "PTS": "m6",
+}
+
+
+def customer_season_lines(spark, sf_dir):
+    recs = season_records(spark, sf_dir, "customer")
+    n = F.col("name")
+    fields = {}
+    for f in CSV_FIELDS:
+        if f == "Rk":
+            fields[f] = n.cast("string")
+        elif f == "Player":
+            fields[f] = F.concat(F.lit("C"), n.cast("string"),
+                                 F.when(n % 3 == 0, F.lit("*")).otherwise(F.lit("")),
+                                 F.when(n % 5 == 0, F.concat(F.lit("\\c"), n.cast("string")))
+                                 .otherwise(F.lit("")))
+        elif f == "Pos":
+            fields[f] = F.lit("G")
+        elif _CSV_MAP.get(f):
+            fields[f] = F.col(_CSV_MAP[f]).cast("string")
+        else:
+            fields[f] = F.lit("")
+    lines = recs.select("year", *[c.alias(f) for f, c in fields.items()])
+    years = recs.select("year").distinct()
+    header = years.select("year", *[F.lit(f).alias(f) for f in CSV_FIELDS])
+    blank = years.select("year", *[F.lit(None).cast("string").alias(f) for f in CSV_FIELDS])
+    return lines.unionByName(header).unionByName(blank)
+
+
+@register("read_season_csv", O.with_records("customer", """
+SELECT CAST(name AS BIGINT) AS Rk, 'C' || CAST(name AS VARCHAR) AS name, year, age, team, gp,
+  CAST(0 AS BIGINT) AS gs, m1 AS "FG", att1 AS "FGA", pct1 AS "FGP", neg1 AS "TOV", m6 AS "PTS",
+  CAST(0 AS BIGINT) AS rejects
+FROM records"""), ["FG", "FGA", "FGP", "TOV", "PTS"])
+def q_read_season_csv(spark, sf_dir):
+    path = scratch_path(spark, "season-csv")
+    csvsrc.write_season_csv(customer_season_lines(spark, sf_dir), path)
+    raw = csvsrc.read_season_csv(spark, f"{path}/*/*.csv")
+    p = csvsrc.parse_seasons(raw)
+    return p.select(
+        F.col("Rk").try_cast("bigint").alias("Rk"), "name", F.col("year").cast("bigint").alias("year"),
+        F.col("age").cast("bigint").alias("age"), "team", F.col("gp").cast("bigint").alias("gp"),
+        F.col("gs").cast("bigint").alias("gs"), "FG", "FGA", "FGP", "TOV", "PTS", "rejects")
+
+
+# --- compared careers (supplier seasons: dense careers) --------------------
+
+_S_Z = S.z_cols
+
+
+def _career_rows_sql() -> str:
+    zs = ", ".join(f'"{c}"' for c in _S_Z)
+    return f""",
+cr AS (
+  SELECT name, year, row_number() OVER (PARTITION BY name ORDER BY year) - 1 AS season_index, {zs}
+  FROM players)"""
+
+
+@register("career_vector", O.with_players("supplier", S, f"""
+SELECT name, year, CAST(season_index AS BIGINT) AS season_index,
+  CAST({len(_S_Z)} * (season_index + 1) AS BIGINT) AS vec_len,
+  sum({" + ".join(f'"{c}"' for c in _S_Z)}) OVER (
+    PARTITION BY name ORDER BY season_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS vec_sum
+FROM cr""", more=_career_rows_sql()), ["vec_sum"])
+def q_career_vector(spark, sf_dir):
+    v = similar.career_vector(st.players(spark, sf_dir, "supplier"), S)
+    return v.select("name", "year", "season_index",
+                    F.size("vec").cast("bigint").alias("vec_len"),
+                    F.aggregate("vec", F.lit(0.0), lambda a, x: a + x).alias("vec_sum"))
+
+
+def _targets(players):
+    """The entities of the three best seasons ever (data-derived targets)."""
+    return explore.top_all_time(players, S, "zTOT", 3).select("name").distinct()
+
+
+_SIM_SQL = f""",
+targets AS (SELECT name FROM players ORDER BY "zTOT" DESC NULLS LAST, name, year LIMIT 3),
+pairs AS (
+  SELECT t.season_index AS experience, t.year AS year, t.name AS name, o.name AS similar_player,
+    {" + ".join(f'(o."{c}" - t."{c}") * (o."{c}" - t."{c}")' for c in _S_Z)} AS d2
+  FROM cr AS o JOIN cr AS t ON o.season_index = t.season_index AND o.name <> t.name
+  WHERE t.name IN (SELECT name FROM targets)),
+sim AS (
+  SELECT CAST(experience AS BIGINT) AS experience, year, name, similar_player,
+    sqrt(sum(d2) OVER (PARTITION BY name, similar_player ORDER BY experience
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+         / ({float(len(_S_Z))} * (experience + 1))) AS similarity_score
+  FROM pairs)"""
+
+
+@register("career_similarity", O.with_players("supplier", S, "SELECT * FROM sim",
+                                              more=_career_rows_sql() + _SIM_SQL),
+          ["similarity_score"])
+def q_career_similarity(spark, sf_dir):
+    p = st.players(spark, sf_dir, "supplier")
+    return similar.career_similarity(p, S, _targets(p))
+
+
+@register("most_similar_topk", O.with_players("supplier", S, """
+SELECT experience, year, name, similar_player, similarity_score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY name, experience
+                               ORDER BY similarity_score, similar_player) AS rank FROM sim)
+WHERE rank <= 5""", more=_career_rows_sql() + _SIM_SQL), ["similarity_score"])
+def q_most_similar_topk(spark, sf_dir):
+    p = st.players(spark, sf_dir, "supplier")
+    return similar.most_similar_topk(similar.career_similarity(p, S, _targets(p)), k=5)
+
+
+# --- prediction ------------------------------------------------------------
+
+def _ml(spark, sf_dir):
+    return st.ml_table(st.players(spark, sf_dir, "customer"), C, LAST)
+
+
+_ML_CTE = _roster_sql() + ",\nml AS (" + _ml_sql() + ")"
+
+
+@register("train_split", O.with_players("customer", C, f"""
+SELECT name, year, exp, zw10, zw1 AS label FROM ml WHERE year >= {LAST} AND year < {LAST + 1}""",
+                                        more=_ML_CTE), ["zw10", "label"])
+def q_train_split(spark, sf_dir):
+    return predict.split(_ml(spark, sf_dir), "zw1", LAST)
+
+
+@register("ols_two_feature", O.with_players("customer", C, f"""
+SELECT n, coef_1, coef_2, my - coef_1 * m1 - coef_2 * m2 AS intercept FROM (
+  SELECT n, m1, m2, my,
+    (v2 * c1y - c12 * c2y) / NULLIF(v1 * v2 - c12 * c12, 0) AS coef_1,
+    (v1 * c2y - c12 * c1y) / NULLIF(v1 * v2 - c12 * c12, 0) AS coef_2
+  FROM (
+    SELECT count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my,
+      var_pop(x1) AS v1, var_pop(x2) AS v2, covar_pop(x1, x2) AS c12,
+      covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y
+    FROM (SELECT CAST(exp AS DOUBLE) AS x1, zw10 AS x2, zw1 AS y FROM ml
+          WHERE year >= {LAST} AND year < {LAST + 1}
+            AND exp IS NOT NULL AND zw10 IS NOT NULL AND zw1 IS NOT NULL)))""",
+                                            more=_ML_CTE), ["coef_1", "coef_2", "intercept"])
+def q_ols_two_feature(spark, sf_dir):
+    return predict.ols_two_feature(predict.split(_ml(spark, sf_dir), "zw1", LAST), "exp", "zw10")
+
+
+def _predictions(spark, sf_dir, train_year, stats=predict.MEASURES):
+    ml = _ml(spark, sf_dir)
+    out = {}
+    for s in stats:
+        pred, _ = predict.fit_next_season(predict.split(ml, s, train_year),
+                                          predict.split(ml, s, train_year + 1), s)
+        out[s] = pred
+    return out
+
+
+@register("next_season_prediction")
+def q_next_season_prediction(spark, sf_dir):
+    return _predictions(spark, sf_dir, LAST, ("zw1",))["zw1"]
+
+
+@register("combined_prediction")
+def q_combined_prediction(spark, sf_dir):
+    return predict.combine_predictions(_predictions(spark, sf_dir, LAST))
+
+
+@register("predicted_rank")
+def q_predicted_rank(spark, sf_dir):
+    return predict.predicted_rank(predict.combine_predictions(_predictions(spark, sf_dir, LAST)), 100)
+
+
+@register("prediction_rmse")
+def q_prediction_rmse(spark, sf_dir):
+    """Held-out score: train on the season before the last, test on the last."""
+    preds = _predictions(spark, sf_dir, LAST - 1, ("zw1",))
+    return predict.prediction_rmse(preds["zw1"])
+
+
+# dedupe is re-exported for callers that build their own records
+__all__ = ["dirty_names", "customer_season_lines", "dedupe_prefer_total"]
