@@ -59,10 +59,12 @@ def ols_two_feature(df: DataFrame, x1: str, x2: str, y: str = "label") -> DataFr
 
 
 def fit_next_season(train: DataFrame, test: DataFrame, stat: str, seed: int = 42,
-                    parallelism: int = 4):
+                    parallelism: int = 8):
     """Fit the reference's grid on ``train``, predict ``test``.
 
     Returns (predictions: name, year, prediction, label; best model).
+    ``parallelism`` candidates are fitted at once (each fit is one small
+    aggregation job, so the grid is bound by job latency, not data).
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.evaluation import RegressionEvaluator

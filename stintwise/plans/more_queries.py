@@ -3,6 +3,7 @@ prediction (see ``queries.py`` for the conventions)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import clean, explore, predict, similar
@@ -234,7 +235,8 @@ def q_ols_two_feature(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir, train_year, stats=predict.MEASURES):
-    ml = _ml(spark, sf_dir)
+    # the feature table feeds 2 splits x 30 fits x measures: keep it once
+    ml = _ml(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
     out = {}
     for s in stats:
         pred, _ = predict.fit_next_season(predict.split(ml, s, train_year),
