@@ -3,7 +3,6 @@ prediction (see ``queries.py`` for the conventions)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import clean, explore, predict, similar
@@ -235,8 +234,9 @@ def q_ols_two_feature(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir, train_year, stats=predict.MEASURES):
-    # the feature table feeds 2 splits x 30 fits x measures: keep it once
-    ml = _ml(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    # the feature table feeds 2 splits x 30 fits x measures: write it once
+    # (reliable checkpoint: the model search never replays its lineage)
+    ml = _ml(spark, sf_dir).checkpoint(eager=True)
     out = {}
     for s in stats:
         pred, _ = predict.fit_next_season(predict.split(ml, s, train_year),

@@ -14,6 +14,7 @@ from ..operators.career import (exclude_first_season, experience,
 from ..operators.clean import dedupe_prefer_total
 from ..operators.scores import season_scores
 from ..operators.summary import profile
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import season_records
 from ..spec import CUSTOMER, SUPPLIER, SeasonSpec
 
@@ -26,9 +27,21 @@ SPECS = {"customer": CUSTOMER, "supplier": SUPPLIER}
 PROFILE_VALUES = ["valueZ", "valueN", "deltaZ", "deltaN"]
 
 
-def players_from_records(records: DataFrame, spec: SeasonSpec) -> DataFrame:
-    """records -> one row per (entity, period) -> scores -> experience."""
-    return experience(season_scores(dedupe_prefer_total(records, spec), spec), spec)
+def players_from_records(records: DataFrame, spec: SeasonSpec,
+                         cut_lineage: bool = True) -> DataFrame:
+    """records -> one row per (entity, period) -> scores -> experience.
+
+    The deduplicated records feed three passes (two summaries and the final
+    scores). With ``cut_lineage`` they are checkpointed to the shared
+    ``spark.checkpoint.dir`` first (eager, reliable): a lost executor then
+    re-reads that file instead of replaying the scan, joins and three
+    aggregations below it.
+    """
+    dedup = dedupe_prefer_total(records, spec)
+    if cut_lineage:
+        ensure_checkpoint_dir(dedup.sparkSession)
+        dedup = dedup.checkpoint(eager=True)
+    return experience(season_scores(dedup, spec), spec)
 
 
 def players(spark: SparkSession, sf_dir: str, kind: str = "customer") -> DataFrame:
