@@ -30,9 +30,11 @@ def dirty_names(spark, sf_dir):
         F.when(k % 3 == 0, F.lit("*")).otherwise(F.lit("")),
         F.when(k % 5 == 0, F.concat(F.lit("\\id"), k.cast("string"))).otherwise(F.lit("")))
     rows = cust.select(k.cast("string").alias("Rk"), player.alias("Player"))
-    headers = cust.filter(k % 10 == 0).select(F.lit("Rk").alias("Rk"), F.lit("Player").alias("Player"))
-    blanks = cust.filter(k % 15 == 0).select(F.lit(None).cast("string").alias("Rk"),
-                                             F.lit(None).cast("string").alias("Player"))
+    # a repeated header line per nation, a blank line per market segment
+    headers = cust.select("c_nationkey").distinct().select(
+        F.lit("Rk").alias("Rk"), F.lit("Player").alias("Player"))
+    blanks = cust.select("c_mktsegment").distinct().select(
+        F.lit(None).cast("string").alias("Rk"), F.lit(None).cast("string").alias("Player"))
     return rows.unionByName(headers).unionByName(blanks)
 
 
@@ -59,7 +61,7 @@ def q_blank_to_zero(spark, sf_dir):
 
 @register("typed_parse", """
 SELECT c_custkey,
-  CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_nationkey END AS nationkey,
+  CAST(CASE WHEN c_custkey % 9 = 0 THEN 0 ELSE c_nationkey END AS BIGINT) AS nationkey,
   CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 4 = 0 THEN 0.0 ELSE c_acctbal END AS acctbal,
   CAST(CASE WHEN c_custkey % 6 = 0 THEN 1 ELSE 0 END AS BIGINT) AS rejects
 FROM customer""", ["acctbal"])

@@ -16,7 +16,7 @@ from ..operators.scores import season_scores
 from ..operators.summary import profile
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import season_records
-from ..spec import CUSTOMER, SUPPLIER, SeasonSpec
+from ..spec import BASKETBALL, CUSTOMER, SUPPLIER, SeasonSpec
 
 # Seasons of the test tables: order / ship years 1995 to 2001.
 FIRST_SEASON = 1995
@@ -49,6 +49,15 @@ def players(spark: SparkSession, sf_dir: str, kind: str = "customer") -> DataFra
     return players_from_records(season_records(spark, sf_dir, kind), spec)
 
 
+def players_from_csv(spark: SparkSession, path: str, first: int | None = None,
+                     last: int | None = None, spec: SeasonSpec = BASKETBALL) -> DataFrame:
+    """The reference's whole ingest: season CSV files under ``path`` (a glob)
+    -> clean, typed lines -> one row per (name, year) -> scores -> exp."""
+    from ..sources.csv import parse_seasons, read_season_csv
+
+    return players_from_records(parse_seasons(read_season_csv(spark, path, first, last)), spec)
+
+
 def profile_by_age(players_df: DataFrame, spec: SeasonSpec) -> DataFrame:
     return profile(value_rows(players_df, spec), spec.age, PROFILE_VALUES)
 

@@ -77,3 +77,18 @@ def test_year_range_and_staging(spark, tmp_path):
     staged = read_staged(spark, out)
     assert staged.filter("year = 1971").count() == 2
     assert staged.count() == 2
+
+
+def test_players_from_csv_end_to_end(spark, tmp_path):
+    from stintwise.plans.season_tables import ml_table, players_from_csv, profile_by_age
+
+    path = _write(tmp_path)
+    p = players_from_csv(spark, os.path.join(path, "leagues_NBA_*"))
+    assert p.columns[0] == "exp" and "zFG" in p.columns and "nTOT" in p.columns
+    rows = {(r["name"], r["year"]): r for r in p.collect()}
+    assert len(rows) == 5
+    assert rows[("Alpha One", 1971)]["exp"] == 0          # same age both years in the fixture
+    ml = ml_table(p, BASKETBALL, last=1971)
+    assert {"zfg0", "zfg", "zfgdiff", "ztot0"} <= set(ml.columns)
+    assert ml.filter("year = 1972").count() == 2           # placeholders for 1971's players
+    assert profile_by_age(p, BASKETBALL).count() >= 1
