@@ -76,3 +76,13 @@ def mean_by_season(players: DataFrame, spec: SeasonSpec, value: str,
                    alias: str | None = None) -> DataFrame:
     """Mean of a value per period (partial + final aggregation)."""
     return players.groupBy(spec.period).agg(F.avg(_q(value)).alias(alias or f"avg_{value}"))
+
+
+def to_pandas_bounded(df: DataFrame, max_rows: int = 100_000):
+    """A local pandas copy of a result known to be small (a top-k list, a
+    profile, a chart series). Refuses results above ``max_rows`` instead of
+    pulling a whole table through the driver."""
+    pdf = df.limit(max_rows + 1).toPandas()
+    if len(pdf) > max_rows:
+        raise ValueError(f"result has more than {max_rows} rows; aggregate or limit it first")
+    return pdf

@@ -13,9 +13,16 @@ def create_database(spark: SparkSession, db: str) -> None:
 
 
 def write_table(df: DataFrame, name: str, mode: str = "overwrite",
-                compression: str | None = None, partition_by: list[str] | None = None) -> None:
+                compression: str | None = None, partition_by: list[str] | None = None,
+                repartition_by: list[str] | None = None) -> None:
     """Save as a managed table. ``mode="ignore"`` keeps an existing table
-    (the reference's CREATE TABLE IF NOT EXISTS); the default overwrites."""
+    (the reference's CREATE TABLE IF NOT EXISTS); the default overwrites.
+
+    ``repartition_by`` hash-partitions by those columns before the write
+    (few, large files per key range); otherwise AQE's partitioning is kept.
+    """
+    if repartition_by:
+        df = df.repartition(*repartition_by)
     w = df.write.mode(mode)
     if compression:
         w = w.option("compression", compression)
@@ -27,3 +34,10 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite",
 def drop_outputs(spark: SparkSession, db: str, tables=OUTPUT_TABLES) -> None:
     for t in tables:
         spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{t}`")
+
+
+def register_views(tables: dict[str, DataFrame]) -> list[str]:
+    """Session temp views, so the results can be queried with ``spark.sql``."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return list(tables)
