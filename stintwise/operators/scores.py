@@ -64,7 +64,7 @@ def _first_stage_cols(spec: SeasonSpec) -> dict[str, F.Column]:
 def first_stage(df: DataFrame, spec: SeasonSpec, s1: DataFrame | None = None) -> DataFrame:
     """Records with pass-2 values ``_v_j`` (impacts / z) attached."""
     if s1 is None:
-        s1 = checked_broadcast(raw_period_summary(df, spec))
+        s1, _ = checked_broadcast(raw_period_summary(df, spec))
     joined = df.join(s1, spec.period)
     return joined.withColumns(_first_stage_cols(spec))
 
@@ -79,18 +79,26 @@ def stage_summary(stage: DataFrame, spec: SeasonSpec) -> DataFrame:
     return stage.groupBy(spec.period).agg(*aggs)
 
 
-def season_scores(df: DataFrame, spec: SeasonSpec) -> DataFrame:
+def season_scores(df: DataFrame, spec: SeasonSpec, persist_input: bool = True) -> DataFrame:
     """Attach z and n scores of every measure and the two composites.
 
     ``df`` must hold one row per (entity, period) (see ``dedupe_prefer_total``).
     Output: the input columns, then z of each measure, the z composite, n of
-    each measure, the n composite.
+    each measure, the n composite. ``persist_input=False`` when ``df`` is
+    already a written table (it is read by all three passes).
+
+    Both summaries have one row per period and the same periods, so one
+    count of the first, budgeted for the wider second (4 values per
+    measure), proves the broadcast bound for both.
     """
     base_cols = df.columns
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    s1 = checked_broadcast(raw_period_summary(df, spec))
+    if persist_input:
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    s1, small = checked_broadcast(raw_period_summary(df, spec),
+                                  width_columns=1 + 4 * len(spec.measures))
     stage = first_stage(df, spec, s1)
-    s2 = checked_broadcast(stage_summary(stage, spec))
+    s2 = stage_summary(stage, spec)
+    s2 = F.broadcast(s2) if small else s2
     scored = stage.join(s2, spec.period)
 
     z, n = {}, {}

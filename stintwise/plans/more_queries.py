@@ -12,6 +12,7 @@ from ..sources import csv as csvsrc
 from ..sources.tables import load, season_records
 from ..spec import CSV_FIELDS, CUSTOMER, SUPPLIER
 from . import oracle as O
+from .sizing import cut_lineage
 from . import season_tables as st
 from .queries import LAST, _ml_sql, _roster_sql, register
 
@@ -237,8 +238,8 @@ def q_ols_two_feature(spark, sf_dir):
 
 def _predictions(spark, sf_dir, train_year, stats=predict.MEASURES):
     # the feature table feeds 2 splits x 30 fits x measures: write it once
-    # (reliable checkpoint: the model search never replays its lineage)
-    ml = _ml(spark, sf_dir).checkpoint(eager=True)
+    # (a table in the checkpoint folder: the model search never replays it)
+    ml = cut_lineage(_ml(spark, sf_dir), "ml-features")
     out = {}
     for s in stats:
         pred, _ = predict.fit_next_season(predict.split(ml, s, train_year),

@@ -14,7 +14,7 @@ from ..operators.career import (exclude_first_season, experience,
 from ..operators.clean import dedupe_prefer_total
 from ..operators.scores import season_scores
 from ..operators.summary import profile
-from ..session import ensure_checkpoint_dir
+from .sizing import cut_lineage as lineage_cut
 from ..sources.tables import season_records
 from ..spec import BASKETBALL, CUSTOMER, SUPPLIER, SeasonSpec
 
@@ -32,16 +32,15 @@ def players_from_records(records: DataFrame, spec: SeasonSpec,
     """records -> one row per (entity, period) -> scores -> experience.
 
     The deduplicated records feed three passes (two summaries and the final
-    scores). With ``cut_lineage`` they are checkpointed to the shared
-    ``spark.checkpoint.dir`` first (eager, reliable): a lost executor then
-    re-reads that file instead of replaying the scan, joins and three
+    scores). With ``cut_lineage`` they are first written as a table in the
+    shared ``spark.checkpoint.dir`` and read back: a lost executor then
+    re-reads that table instead of replaying the scan, joins and three
     aggregations below it.
     """
     dedup = dedupe_prefer_total(records, spec)
     if cut_lineage:
-        ensure_checkpoint_dir(dedup.sparkSession)
-        dedup = dedup.checkpoint(eager=True)
-    return experience(season_scores(dedup, spec), spec)
+        dedup = lineage_cut(dedup, "season-records")
+    return experience(season_scores(dedup, spec, persist_input=not cut_lineage), spec)
 
 
 def players(spark: SparkSession, sf_dir: str, kind: str = "customer") -> DataFrame:

@@ -16,15 +16,29 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def checked_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+def checked_broadcast(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES,
+                      width_columns: int | None = None) -> tuple[DataFrame, bool]:
     """Broadcast ``df`` if its measured size is under ``max_bytes``.
 
     ``df`` is persisted (it is read again by the join), counted, and
-    returned with a broadcast hint only when small enough.
+    returned with a broadcast hint only when small enough. ``width_columns``
+    budgets for a wider table with the same keys (one count then proves the
+    bound for both). Returns (DataFrame, whether it is broadcast).
     """
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     rows = df.count()
-    width = max(len(df.columns), 1) * 8 + 16
+    width = max(width_columns or len(df.columns), 1) * 8 + 16
     if rows * width <= max_bytes:
-        return F.broadcast(df)
-    return df
+        return F.broadcast(df), True
+    return df, False
+
+
+def cut_lineage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a parquet table under the shared checkpoint folder
+    (``spark.checkpoint.dir``) and read it back: one job, durable across lost
+    executors, and the planner sees the written table's real size."""
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
