@@ -77,8 +77,11 @@ def ml_table(players_df: DataFrame, spec: SeasonSpec, last=LAST_SEASON) -> DataF
 
 
 def write_all(spark: SparkSession, sf_dir: str, db: str, kind: str = "customer",
-              last=LAST_SEASON) -> list[str]:
-    """Build and save players, age, experience and ml as tables of ``db``."""
+              last=LAST_SEASON, similar_targets: DataFrame | None = None) -> list[str]:
+    """Build and save players, age, experience and ml as tables of ``db``;
+    with ``similar_targets`` (entity keys) also ``similar``: those careers
+    compared with every other one (see ``operators.similar``)."""
+    from ..operators.similar import career_similarity
     from ..sources.catalog import create_database, write_table
 
     spec = SPECS[kind]
@@ -89,4 +92,8 @@ def write_all(spark: SparkSession, sf_dir: str, db: str, kind: str = "customer",
     write_table(profile_by_age(saved, spec), f"{db}.age")
     write_table(profile_by_experience(saved, spec), f"{db}.experience")
     write_table(ml_table(saved, spec, last), f"{db}.ml")
-    return ["players", "age", "experience", "ml"]
+    out = ["players", "age", "experience", "ml"]
+    if similar_targets is not None:
+        write_table(career_similarity(saved, spec, similar_targets), f"{db}.similar")
+        out.append("similar")
+    return out

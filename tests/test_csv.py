@@ -33,16 +33,16 @@ def _write(tmp_path):
           ]
     y1[-1] = y1[-1] + ","   # blank last field (PTS) via an extra comma trimmed below
     y1[-1] = y1[-1][:-len(y1[-1].split(",")[-2]) - 2] + ","
-    (d / "leagues_NBA_1970_per_game_per_game.csv").write_text("\n".join(y1) + "\n")
+    (d / "league_stats_1970_per_game_per_game.csv").write_text("\n".join(y1) + "\n")
     y2 = ["", HEADER, _line(1, "Alpha One*", "AAA", 80, {"FG%": ".550", "FGA": "11"}),
           _line(2, "Gamma Three", "CCC", 40, {"FG%": ".450", "FGA": "9"})]
-    (d / "leagues_NBA_1971_per_game_per_game.csv").write_text("\n".join(y2) + "\n")
+    (d / "league_stats_1971_per_game_per_game.csv").write_text("\n".join(y2) + "\n")
     return str(d)
 
 
 def test_read_clean_dedupe_score(spark, tmp_path):
     path = _write(tmp_path)
-    raw = read_season_csv(spark, os.path.join(path, "leagues_NBA_*"))
+    raw = read_season_csv(spark, os.path.join(path, "league_stats_*"))
     p = parse_seasons(raw)
     rows = p.collect()
     assert {r["year"] for r in rows} == {1970, 1971}
@@ -69,7 +69,7 @@ def test_read_clean_dedupe_score(spark, tmp_path):
 
 def test_year_range_and_staging(spark, tmp_path):
     path = _write(tmp_path)
-    raw = read_season_csv(spark, os.path.join(path, "leagues_NBA_*"), first=1971, last=1971)
+    raw = read_season_csv(spark, os.path.join(path, "league_stats_*"), first=1971, last=1971)
     assert {r["year"] for r in raw.collect()} == {1971}
     out = str(tmp_path / "staged")
     stage_season_files(parse_seasons(raw), out)
@@ -83,7 +83,7 @@ def test_players_from_csv_end_to_end(spark, tmp_path):
     from stintwise.plans.season_tables import ml_table, players_from_csv, profile_by_age
 
     path = _write(tmp_path)
-    p = players_from_csv(spark, os.path.join(path, "leagues_NBA_*"))
+    p = players_from_csv(spark, os.path.join(path, "league_stats_*"))
     assert p.columns[0] == "exp" and "zFG" in p.columns and "nTOT" in p.columns
     rows = {(r["name"], r["year"]): r for r in p.collect()}
     assert len(rows) == 5

@@ -11,7 +11,7 @@ def _season_file(d, year, names):
     lines = ["", ",".join(CSV_FIELDS)]
     for i, n in enumerate(names, 1):
         lines.append(",".join([str(i), n, "G", "25", "AAA", "10", "", "20.0"] + ["1.0"] * 22))
-    (d / f"leagues_NBA_{year}_per_game.csv").write_text("\n".join(lines) + "\n")
+    (d / f"league_stats_{year}_per_game.csv").write_text("\n".join(lines) + "\n")
 
 
 def test_stage_only_new_files(spark, tmp_path):
@@ -35,8 +35,13 @@ def test_write_all_and_drop(spark):
     from stintwise.plans.season_tables import write_all
     from stintwise.sources.catalog import drop_outputs
 
-    saved = write_all(spark, SF_SMALL, "seasons_test", kind="customer")
-    assert saved == ["players", "age", "experience", "ml"]
+    targets = spark.read.parquet(f"{SF_SMALL}/orders.parquet").selectExpr(
+        "o_custkey AS name").distinct().orderBy("name").limit(2)
+    saved = write_all(spark, SF_SMALL, "seasons_test", kind="customer", similar_targets=targets)
+    assert saved == ["players", "age", "experience", "ml", "similar"]
+    sim = spark.table("seasons_test.similar")
+    assert sim.columns == ["experience", "year", "name", "similar_player", "similarity_score"]
+    assert sim.select("name").distinct().count() <= 2
     p = spark.table("seasons_test.players")
     assert p.columns[0] == "exp" and p.count() > 0
     assert spark.table("seasons_test.age").count() > 0
