@@ -39,10 +39,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names shared storage and is used as
-    is. Only when it is unset (local tests) a scratch folder is set here.
+    is; if it is unset there, this fails rather than fall back to a folder
+    only one machine can see. In local mode (tests, bench) an unset folder
+    is replaced by a scratch folder.
     """
     path = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(
+                f"set {CHECKPOINT_KEY} to a shared folder (lineage is cut with written tables there)")
         path = tempfile.mkdtemp(prefix="stintwise-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)
