@@ -21,9 +21,11 @@ def spark():
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
-         .config("spark.checkpoint.dir", os.path.join(scratch, "ckpt"))
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
+    from stintwise.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(s)   # the configured shared folder; a scratch one only if unset
     yield s
     s.stop()
 
