@@ -331,6 +331,20 @@ def q_top_all_time(spark, sf_dir):
     return explore.top_all_time(_players(spark, sf_dir), C, "nTOT", 50)
 
 
+@register("top_all_time_ztot",
+          O.with_players("customer", C, _top_sql("", ["name", "year", "age", "zTOT"], "zTOT", 50, ", year ASC")),
+          ["zTOT"])
+def q_top_all_time_ztot(spark, sf_dir):
+    return explore.top_all_time(_players(spark, sf_dir), C, "zTOT", 50)
+
+
+@register("top_measure_all_time_z",
+          O.with_players("customer", C, _top_sql("", ["name", "year", "m1", "zm1"], "zm1", 20, ", year ASC")),
+          ["m1", "zm1"])
+def q_top_measure_all_time_z(spark, sf_dir):
+    return explore.top_measure(_players(spark, sf_dir), C, "zm1", 20, cols=["name", "year", "m1", "zm1"])
+
+
 _BEST_OF_SEASON = (f"(SELECT name FROM players WHERE year = {SEASON} "
                    f'ORDER BY "zTOT" DESC NULLS LAST, name LIMIT 1)')
 

@@ -28,7 +28,8 @@ def _write(tmp_path):
           _line(3, "Beta Two", "AAA", 30, {"FG%": ".300"}),
           _line(4, "Beta Two", "BBB", 30, {"FG%": ".500"}),
           HEADER,
-          _line(5, "Gamma Three", "CCC", 50, {"FG%": ".600", "FGA": "8", "FT%": "", "FTA": "0.0"}),
+          _line(5, "Gamma Three", "CCC", 50, {"FG%": ".600", "FGA": "8", "FT%": "", "FTA": "0.0"},
+                pos="SG-PG"),
           _line(6, "Gamma Three", "DDD", 52, {"FG%": ".100", "FGA": "8"}),
           ]
     y1[-1] = y1[-1] + ","   # blank last field (PTS) via an extra comma trimmed below
@@ -54,6 +55,8 @@ def test_read_clean_dedupe_score(spark, tmp_path):
     gamma6 = [r for r in rows if r["Rk"] == 6][0]
     assert gamma6["PTS"] == 0.0                # blank last field -> 0
     assert all(r["rejects"] == 0 for r in rows)
+    gamma5 = [r for r in rows if r["Rk"] == 5][0]
+    assert gamma5["position"] == "SG-PG" and gamma5["FTP"] == 0.0   # two positions kept; blank FT% -> 0
 
     d = {(r["name"], r["year"]): r for r in dedupe_prefer_total(p, BASKETBALL).collect()}
     assert len(d) == 5
