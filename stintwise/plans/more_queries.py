@@ -131,7 +131,7 @@ FROM records"""), ["FG", "FGA", "FGP", "TOV", "PTS"])
 def q_read_season_csv(spark, sf_dir):
     path = scratch_path(spark, "season-csv")
     csvsrc.write_season_csv(customer_season_lines(spark, sf_dir), path)
-    raw = csvsrc.read_season_csv(spark, f"{path}/*/*.csv")
+    raw = csvsrc.read_season_csv(spark, path)   # the folder; partition folders carry the year
     p = csvsrc.parse_seasons(raw)
     return p.select(
         F.col("Rk").try_cast("bigint").alias("Rk"), "name", F.col("year").cast("bigint").alias("year"),
