@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import career, explore, scores, summary
 from ..operators.clean import dedupe_prefer_total
 from ..sources.tables import season_records
-from ..spec import CUSTOMER, SUPPLIER
+from ..spec import CUSTOMER
 from . import oracle as O
 from . import season_tables as st
 
@@ -46,10 +46,6 @@ def finish(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def _doubles(names: list[str]) -> list[str]:
-    return names
-
-
 def register(name: str, sql: str | None = None, doubles: list[str] | None = None):
     def deco(fn):
         QUERIES[name] = lambda spark, sf_dir: finish(fn(spark, sf_dir))
@@ -64,7 +60,6 @@ def _players(spark, sf_dir, kind="customer"):
 
 
 C = CUSTOMER
-S = SUPPLIER
 _C_RAW = list(C.raw)
 _C_Z = C.z_cols
 _C_N = C.n_cols
