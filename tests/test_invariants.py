@@ -45,3 +45,33 @@ def test_bounded_local_copy_and_views(spark, players):
         to_pandas_bounded(players, max_rows=5)
     register_views({"players_view": players})
     assert spark.sql("SELECT count(*) FROM players_view").collect()[0][0] == players.count()
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dedupe_combines_map_side_under_a_hot_key(spark):
+    """One (entity, period) holds a third of all rows: dedupe still picks the
+    right row and aggregates partially before the shuffle."""
+    from stintwise.operators.clean import dedupe_prefer_total
+    from stintwise.spec import SeasonSpec
+
+    hot = [("hot", 1, f"c{i:05d}", i % 50, i) for i in range(3000)] + [("hot", 1, "TOT", 1, 99999)]
+    cold = [(f"e{i}", 1 + i % 3, "A", i % 9, i) for i in range(6000)]
+    df = spark.createDataFrame(hot + cold, "name string, year int, team string, gp int, Rk int")
+    d = dedupe_prefer_total(df.repartition(8), SeasonSpec(rank="Rk"))
+    rows = {(r["name"], r["year"]): r for r in d.collect()}
+    assert rows[("hot", 1)]["team"] == "TOT"
+    assert len(rows) == 1 + 6000
+    assert "partial_min_by" in _physical(d)
+
+
+def test_scores_broadcast_period_summaries(players):
+    """The per-period summaries join by broadcast: the season records are
+    never shuffled for a sort-merge join on the period."""
+    from stintwise.plans import season_tables as st
+
+    plan = _physical(st.players(players.sparkSession, SF_SMALL, "customer"))
+    assert "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
