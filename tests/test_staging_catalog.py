@@ -50,3 +50,15 @@ def test_write_all_and_drop(spark):
     assert p.groupBy("name", "year").count().filter("count > 1").count() == 0
     drop_outputs(spark, "seasons_test")
     assert not spark.catalog.tableExists("seasons_test.players")
+
+
+def test_write_if_absent_keeps_existing_table(spark):
+    from stintwise.sources.catalog import create_database, drop_outputs, write_table
+
+    create_database(spark, "seasons_ignore")
+    write_table(spark.range(3), "seasons_ignore.ml")
+    write_table(spark.range(10), "seasons_ignore.ml", mode="ignore")   # CREATE TABLE IF NOT EXISTS
+    assert spark.table("seasons_ignore.ml").count() == 3
+    write_table(spark.range(10), "seasons_ignore.ml")                  # default: overwrite
+    assert spark.table("seasons_ignore.ml").count() == 10
+    drop_outputs(spark, "seasons_ignore")
