@@ -30,10 +30,14 @@ YEAR_PATTERN = r".*_(\d{4})_"
 
 def read_season_csv(spark: SparkSession, path: str, first: int | None = None,
                     last: int | None = None, year_pattern: str = YEAR_PATTERN) -> DataFrame:
-    """All season files under ``path`` (a glob), fields as text, plus ``year``.
-
-    The year filter is on a column derived from the file path, so whole
-    files are skipped by the scan's partition of work, not by a per-year job.
+    """All season files under ``path`` (a folder or glob), fields as text,
+    plus ``year`` taken from each file's path: one scan for all years, no
+    per-year job.
+
+    ``first`` / ``last`` filter rows by that year; files are not pruned by
+    it (narrow the glob for that). Stage the lines with
+    ``stage_season_files`` to get a table partitioned by year, whose year
+    filters do prune partitions.
     """
     df = (spark.read.schema(CSV_SCHEMA).option("header", "false")
           .option("mode", "PERMISSIVE").csv(path))
