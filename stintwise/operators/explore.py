@@ -63,12 +63,18 @@ def entity_season_line(players: DataFrame, spec: SeasonSpec, entity, period,
     return rows.select(*[F.col(_q(c)) for c in cols])
 
 
-def entity_trajectory(players: DataFrame, spec: SeasonSpec, entities: list,
+def entity_trajectory(players: DataFrame, spec: SeasonSpec, entities,
                       value: str | None = None) -> DataFrame:
-    """A value along age for a few entities (the reference's chart series)."""
+    """A value along age for a few entities (the reference's chart series).
+
+    ``entities`` is a list of key values or a DataFrame of keys (semi join).
+    """
     value = value or spec.n_total
-    return (players.filter(F.col(spec.entity).isin(list(entities)))
-            .select(spec.entity, spec.period, spec.age, _q(value))
+    if isinstance(entities, DataFrame):
+        rows = players.join(entities.select(spec.entity), spec.entity, "left_semi")
+    else:
+        rows = players.filter(F.col(spec.entity).isin(list(entities)))
+    return (rows.select(spec.entity, spec.period, spec.age, _q(value))
             .orderBy(spec.entity, spec.age, spec.period))
 
 

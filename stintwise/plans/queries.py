@@ -362,7 +362,7 @@ WHERE name IN (SELECT name FROM players ORDER BY "zTOT" DESC NULLS LAST, name, y
 def q_entity_trajectory(spark, sf_dir):
     p = _players(spark, sf_dir)
     top = explore.top_all_time(p, C, "zTOT", 3).select("name").distinct()
-    return p.join(top, "name", "left_semi").select("name", "year", "age", "nTOT")
+    return explore.entity_trajectory(p, C, top, "nTOT")
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
