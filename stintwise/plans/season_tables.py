@@ -76,18 +76,18 @@ def ml_table(players_df: DataFrame, spec: SeasonSpec, last=LAST_SEASON) -> DataF
     return prior_season_features(players_df, spec, last)
 
 
-def write_all(spark: SparkSession, sf_dir: str, db: str, kind: str = "customer",
-              last=LAST_SEASON, similar_targets: DataFrame | None = None) -> list[str]:
-    """Build and save players, age, experience and ml as tables of ``db``;
-    with ``similar_targets`` (entity keys) also ``similar``: those careers
-    compared with every other one (see ``operators.similar``)."""
+def write_tables(players_df: DataFrame, spec: SeasonSpec, db: str, last,
+                 similar_targets=None) -> list[str]:
+    """Save a players DataFrame and the tables derived from it (age,
+    experience, ml, and ``similar`` for ``similar_targets``) in ``db``.
+    Works for any source: test tables, or season CSV files via
+    ``players_from_csv``."""
     from ..operators.similar import career_similarity
     from ..sources.catalog import create_database, write_table
 
-    spec = SPECS[kind]
+    spark = players_df.sparkSession
     create_database(spark, db)
-    p = players(spark, sf_dir, kind)
-    write_table(p, f"{db}.players")
+    write_table(players_df, f"{db}.players")
     saved = spark.table(f"{db}.players")
     write_table(profile_by_age(saved, spec), f"{db}.age")
     write_table(profile_by_experience(saved, spec), f"{db}.experience")
@@ -97,3 +97,10 @@ def write_all(spark: SparkSession, sf_dir: str, db: str, kind: str = "customer",
         write_table(career_similarity(saved, spec, similar_targets), f"{db}.similar")
         out.append("similar")
     return out
+
+
+def write_all(spark: SparkSession, sf_dir: str, db: str, kind: str = "customer",
+              last=LAST_SEASON, similar_targets: DataFrame | None = None) -> list[str]:
+    """Build the players table of the test tables and save it with the
+    derived tables (see ``write_tables``)."""
+    return write_tables(players(spark, sf_dir, kind), SPECS[kind], db, last, similar_targets)

@@ -95,3 +95,17 @@ def test_players_from_csv_end_to_end(spark, tmp_path):
     assert {"zfg0", "zfg", "zfgdiff", "ztot0"} <= set(ml.columns)
     assert ml.filter("year = 1972").count() == 2           # placeholders for 1971's players
     assert profile_by_age(p, BASKETBALL).count() >= 1
+
+
+def test_csv_seasons_saved_as_tables(spark, tmp_path):
+    from stintwise.plans.season_tables import players_from_csv, write_tables
+    from stintwise.sources.catalog import drop_outputs
+
+    path = _write(tmp_path)
+    p = players_from_csv(spark, os.path.join(path, "league_stats_*"))
+    saved = write_tables(p, BASKETBALL, "seasons_csv", last=1971, similar_targets=["Alpha One"])
+    assert saved == ["players", "age", "experience", "ml", "similar"]
+    assert spark.table("seasons_csv.players").count() == 5
+    assert "Experience" in spark.table("seasons_csv.experience").columns
+    assert spark.table("seasons_csv.similar").filter("name = 'Alpha One'").count() > 0
+    drop_outputs(spark, "seasons_csv")
