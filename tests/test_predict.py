@@ -30,3 +30,39 @@ def test_rmse_skips_unlabelled_and_combine(spark):
     assert r["n"] == 1 and r["rmse"] == pytest.approx(1.0)
     c = {x["name"]: x for x in combine_predictions({"p": a, "q": b}).collect()}
     assert c["x"]["prediction"] == 2.0 and c["x"]["label"] == 3.0 and c["y"]["label"] is None
+
+
+def test_model_search_equals_hand_grid(spark):
+    """The search picks the candidate with the lowest validation RMSE on a
+    seeded 75/25 split; redo that split and grid by hand and compare."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    from stintwise.operators.predict import ELASTIC_NET, REG_PARAMS, TRAIN_RATIO, fit_next_season
+
+    rows = [(f"e{i}", 1, float(i % 6), ((i * 7) % 13) / 4.0 - 1.5,
+             0.3 * (i % 6) - 0.8 * (((i * 7) % 13) / 4.0 - 1.5) + ((i * 11) % 17) / 20.0)
+            for i in range(120)]
+    train = spark.createDataFrame(rows, "name string, year int, exp double, zw10 double, label double")
+    test = spark.createDataFrame([("x", 2, 3.0, 0.5, None)],
+                                 "name string, year int, exp double, zw10 double, label double")
+    pred, model = fit_next_season(train, test, "zw1", seed=7)
+
+    rnd = train.select("*", F.rand(7).alias("_r"))
+    tr, va = rnd.filter(F.col("_r") < TRAIN_RATIO), rnd.filter(F.col("_r") >= TRAIN_RATIO)
+    ev = RegressionEvaluator(labelCol="label", metricName="rmse")
+    best = None
+    for reg in REG_PARAMS:
+        for icpt in (True, False):
+            for en in ELASTIC_NET:
+                pipe = Pipeline(stages=[
+                    VectorAssembler(inputCols=["exp", "zw10"], outputCol="features", handleInvalid="skip"),
+                    LinearRegression(labelCol="label", regParam=reg, fitIntercept=icpt, elasticNetParam=en)])
+                rmse = ev.evaluate(pipe.fit(tr).transform(va))
+                if best is None or rmse < best[0]:
+                    best = (rmse, reg, icpt, en)
+    chosen = model.bestModel.stages[-1]
+    assert (chosen.getRegParam(), chosen.getFitIntercept(), chosen.getElasticNetParam()) == best[1:]
+    assert pred.count() == 1 and pred.collect()[0]["label"] is None
