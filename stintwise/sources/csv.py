@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.clean import clean_lines, typed_parse
+from ..operators.clean import clean_lines, nan_to_null, typed_parse
 from ..spec import CSV_FIELDS
 
 CSV_SCHEMA = T.StructType([T.StructField(f, T.StringType(), True) for f in CSV_FIELDS])
@@ -53,11 +53,13 @@ def read_season_csv(spark: SparkSession, path: str, first: int | None = None,
 def parse_seasons(raw: DataFrame, fill: float | None = 0.0) -> DataFrame:
     """Clean and type the text fields: drop blank and header lines, strip
     '*' and '\\id' from names, blanks -> ``fill`` (0 as the reference),
-    unparsable text -> NULL (counted in ``rejects``)."""
+    unparsable text -> NULL (counted in ``rejects``), NaN -> NULL."""
     df = clean_lines(raw, rank="Rk", name="Player")
     types = {f: ("int" if f in INT_FIELDS else "double") for f in CSV_FIELDS
              if f not in ("Player", "Pos", "Tm")}
     df = typed_parse(df, types, fill=fill)
+    # a literal "NaN" parses as NaN; NULL is the only missing value downstream
+    df = nan_to_null(df, [f for f, t in types.items() if t == "double"])
     df = df.withColumn("Tm", F.trim("Tm")).withColumn("Pos", F.trim("Pos"))
     out = [F.col("year")] + [F.col(f"`{f}`").alias(RENAME.get(f, f)) for f in CSV_FIELDS] + ["rejects"]
     return df.select(*out)

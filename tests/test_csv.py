@@ -30,7 +30,7 @@ def _write(tmp_path):
           HEADER,
           _line(5, "Gamma Three", "CCC", 50, {"FG%": ".600", "FGA": "8", "FT%": "", "FTA": "0.0"},
                 pos="SG-PG"),
-          _line(6, "Gamma Three", "DDD", 52, {"FG%": ".100", "FGA": "8"}),
+          _line(6, "Gamma Three", "DDD", 52, {"FG%": ".100", "FGA": "8", "eFG%": "NaN"}),
           ]
     y1[-1] = y1[-1] + ","   # blank last field (PTS) via an extra comma trimmed below
     y1[-1] = y1[-1][:-len(y1[-1].split(",")[-2]) - 2] + ","
@@ -54,6 +54,7 @@ def test_read_clean_dedupe_score(spark, tmp_path):
     assert alpha["3P"] == 0.0 and alpha["3PA"] == 0.0 and alpha["gs"] == 0
     gamma6 = [r for r in rows if r["Rk"] == 6][0]
     assert gamma6["PTS"] == 0.0                # blank last field -> 0
+    assert gamma6["eFG"] is None               # NaN text -> NULL
     assert all(r["rejects"] == 0 for r in rows)
     gamma5 = [r for r in rows if r["Rk"] == 5][0]
     assert gamma5["position"] == "SG-PG" and gamma5["FTP"] == 0.0   # two positions kept; blank FT% -> 0
