@@ -37,10 +37,35 @@ AGE_SPREAD = 20
 _SUMS = ("n_lines", "n_r", "n_o", "s_qty", "s_price", "s_tax", "s_net", "s_disc")
 
 
+CATALOG_PREFIX = "catalog:"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table: ``<sf_dir>/<name>.parquet``, or the catalog table
+    ``<db>.<name>`` when ``sf_dir`` is ``catalog:<db>`` (e.g. the bucketed
+    copies written by ``bucket_by_order``)."""
+    if sf_dir.startswith(CATALOG_PREFIX):
+        return spark.table(f"{sf_dir[len(CATALOG_PREFIX):]}.{name}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_by_order(spark: SparkSession, sf_dir: str, db: str, buckets: int = 64) -> str:
+    """Write ``lineitem`` and ``orders`` as tables of ``db`` bucketed (and
+    sorted) by order key, with the same bucket count.
+
+    The per-order aggregate of line items and its join with orders then read
+    co-partitioned buckets: neither table is shuffled by order key, the
+    largest shuffle of the season-record build at scale. Returns the source
+    string for ``load`` / ``season_records`` (``catalog:<db>``). Pick the
+    bucket count so a bucket is a few hundred MB.
+    """
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}`")
+    for name, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        (load(spark, sf_dir, name).write.mode("overwrite")
+         .bucketBy(buckets, key).sortBy(key).saveAsTable(f"{db}.{name}"))
+    return CATALOG_PREFIX + db
+
+
 def _cents(c: str) -> Column:
     """A two-decimal money value as a whole number of cents (a double)."""
     return F.rint(F.col(c) * 100)

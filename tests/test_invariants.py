@@ -75,3 +75,26 @@ def test_scores_broadcast_period_summaries(players):
     plan = _physical(st.players(players.sparkSession, SF_SMALL, "customer"))
     assert "BroadcastHashJoin" in plan
     assert "SortMergeJoin" not in plan
+
+
+def test_bucketed_orders_need_no_order_key_shuffle(spark):
+    """With lineitem and orders bucketed by order key, the per-order aggregate
+    and the join read co-partitioned buckets (no exchange on the order key),
+    and the season records are the same."""
+    from stintwise.sources.tables import bucket_by_order, customer_seasons
+
+    src = bucket_by_order(spark, SF_SMALL, "bucketed_test", buckets=4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rec = customer_seasons(spark, src)
+        plan = _physical(rec)
+        assert "SortMergeJoin" in plan
+        assert "hashpartitioning(l_orderkey" not in plan and "hashpartitioning(o_orderkey" not in plan
+        a = sorted(map(tuple, rec.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    b = sorted(map(tuple, customer_seasons(spark, SF_SMALL).collect()))
+    assert a == b
+    spark.sql("DROP DATABASE bucketed_test CASCADE")
