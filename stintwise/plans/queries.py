@@ -2,8 +2,9 @@
 
 Every query reads the test tables at ``sf_dir`` in full. Customer seasons
 stand in for players; supplier seasons serve the pair operators (dense
-careers). Double columns are rounded to 6 places on both sides, since
-Spark and DuckDB sum in different orders.
+careers). Double columns are rounded on both sides by magnitude (5 places
+below 1e3, 3 below 1e5, else 1), since Spark and DuckDB sum in different
+orders; see ``finish`` and ``oracle.rounded``.
 """
 
 from __future__ import annotations
