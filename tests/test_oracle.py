@@ -5,7 +5,7 @@ rows-only query runs."""
 import pytest
 
 import __spark_entry__ as E
-from tools.oracle_check import digest, duck
+from tools.oracle_check import TYPE_MAP, digest, duck
 from tests.conftest import SF_SMALL
 
 ORACLE = E.oracle_sql()
@@ -26,6 +26,8 @@ def test_matches_oracle(spark, con, name):
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    dtypes = {d[0]: str(d[1]) for d in res.description}
+    assert {c: TYPE_MAP.get(t, t) for c, t in df.dtypes} == dtypes
     assert len(srows) == len(drows)
     assert digest(df.columns, srows) == digest(dcols, drows)
 
