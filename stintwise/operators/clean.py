@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import blank_to_zero as _blank_to_zero
@@ -65,21 +65,18 @@ def dedupe_prefer_total(df: DataFrame, spec: SeasonSpec) -> DataFrame:
     """One row per (entity, period): the season-total club row if present,
     otherwise the row with most games, then smallest club, then lowest rank.
 
-    A hash aggregate with ``min_by`` over an ordering struct: partial
-    aggregation runs map-side, so a hot (entity, period) never gathers its
-    rows in one task, and the choice is a total order (no dependence on
-    shuffle arrival order).
+    ``row_number() = 1`` over (entity, period) in that total order (no
+    dependence on shuffle arrival order). Spark plans it with a partial
+    ``WindowGroupLimit`` before the shuffle: each task keeps one row per
+    (entity, period), so a hot key never gathers its rows in one task.
     """
     order = [
-        (F.col(spec.club) != F.lit(spec.total_club)).alias("not_total"),
-        F.coalesce(-F.col(spec.games).cast("bigint"), F.lit(1)).alias("neg_games"),
-        F.col(spec.club).alias("club"),
+        (F.col(spec.club) != F.lit(spec.total_club)).asc(),
+        F.col(spec.games).desc_nulls_last(),
+        F.col(spec.club).asc(),
     ]
     if spec.rank and spec.rank in df.columns:
-        order.append(F.col(spec.rank).alias("rank"))
-    keys = [spec.entity, spec.period]
-    rest = [c for c in df.columns if c not in keys]
-    picked = df.groupBy(*keys).agg(
-        F.min_by(F.struct(*[F.col(c) for c in rest]), F.struct(*order)).alias("_row")
-    )
-    return picked.select(*keys, *[F.col("_row")[c].alias(c) for c in rest]).select(*df.columns)
+        order.append(F.col(spec.rank).asc())
+    w = Window.partitionBy(spec.entity, spec.period).orderBy(*order)
+    return (df.withColumn("_pick", F.row_number().over(w))
+            .filter(F.col("_pick") == 1).drop("_pick"))

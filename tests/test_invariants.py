@@ -64,7 +64,8 @@ def test_dedupe_combines_map_side_under_a_hot_key(spark):
     rows = {(r["name"], r["year"]): r for r in d.collect()}
     assert rows[("hot", 1)]["team"] == "TOT"
     assert len(rows) == 1 + 6000
-    assert "partial_min_by" in _physical(d)
+    plan = _physical(d)
+    assert "WindowGroupLimit" in plan and "Partial" in plan   # top-1 per key before the shuffle
 
 
 def test_scores_broadcast_period_summaries(players):
