@@ -52,9 +52,14 @@ def first_season_entities(df: DataFrame, spec: SeasonSpec, first) -> DataFrame:
 
 def exclude_first_season(df: DataFrame, spec: SeasonSpec, first) -> DataFrame:
     """Drop every row of entities active in period ``first`` (their careers
-    are cut off by the start of the data). Exact membership by a left-anti
-    join on the entity, not a substring test and not a collected list."""
-    return df.join(first_season_entities(df, spec, first), spec.entity, "left_anti")
+    are cut off by the start of the data). Exact membership, not a substring
+    test and not a collected list: a flag over the entity's own rows (a
+    window by entity, so one pass over ``df`` that shares the entity
+    partitioning of the other career windows, instead of joining ``df`` with
+    a second computation of itself)."""
+    w = Window.partitionBy(spec.entity)
+    seen = F.max((F.col(spec.period) == F.lit(first)).cast("int")).over(w)
+    return df.withColumn("_first", seen).filter(F.coalesce(F.col("_first"), F.lit(0)) == 0).drop("_first")
 
 
 def value_rows(players: DataFrame, spec: SeasonSpec) -> DataFrame:

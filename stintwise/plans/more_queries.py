@@ -189,7 +189,7 @@ sim AS (
                                               more=_career_rows_sql() + _SIM_SQL),
           ["similarity_score"])
 def q_career_similarity(spark, sf_dir):
-    p = st.players(spark, sf_dir, "supplier")
+    p = st.players(spark, sf_dir, "supplier").persist()   # read for targets and careers
     return similar.career_similarity(p, S, _targets(p))
 
 
@@ -199,7 +199,7 @@ SELECT experience, year, name, similar_player, similarity_score, CAST(rank AS BI
                                ORDER BY similarity_score, similar_player) AS rank FROM sim)
 WHERE rank <= 5""", more=_career_rows_sql() + _SIM_SQL), ["similarity_score"])
 def q_most_similar_topk(spark, sf_dir):
-    p = st.players(spark, sf_dir, "supplier")
+    p = st.players(spark, sf_dir, "supplier").persist()   # read for targets and careers
     return similar.most_similar_topk(similar.career_similarity(p, S, _targets(p)), k=5)
 
 
