@@ -3,7 +3,6 @@ checkpoint folder taken from the session's own configuration."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -50,14 +49,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 f"set {CHECKPOINT_KEY} to a shared folder (lineage is cut with written tables there)")
         path = tempfile.mkdtemp(prefix="stintwise-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, path)
-    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder, for written tables
-    that cut lineage or stage files."""
+    that cut lineage or stage files. The configured value may be a URI, so it
+    is joined as text and its scheme is kept."""
     root = ensure_checkpoint_dir(spark)
-    if root.startswith("file:"):
-        root = root[len("file:"):]
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex[:12]}")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
