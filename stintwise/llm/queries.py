@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, circulant_minhash, hmm, html_extract, mixing, nbsvm, piece_bpe, url_filter
+from . import chat_format, circulant_minhash, hmm, html_extract, mixing, nbsvm, nn_descent, piece_bpe, prefix_forest, url_filter
 
 from .common import ship
 
 _OPERATORS = {
     "op1_html_extract": html_extract.op1_html_extract,
+    "op2_nn_descent": nn_descent.op2_nn_descent,
     "op3_soft_mixing": mixing.op3_soft_mixing,
     "op4_circulant_minhash": circulant_minhash.op4_circulant_minhash,
     "op5_chat_format": chat_format.op5_chat_format,
+    "op6_prefix_forest": prefix_forest.op6_prefix_forest,
     "op7_hmm": hmm.op7_hmm,
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_piece_bpe": piece_bpe.op9_piece_bpe,
