@@ -52,11 +52,16 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int,
 
 
 _SHIPPED: set[str] = set()
+ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's modules (once per application), for
-    clusters where it is installed on the driver only."""
+    clusters where it is installed on the driver only. Whole texts go to Python
+    in Arrow batches; Spark's default of 10,000 rows a batch is lowered to
+    bound a worker's memory (a value set by the user stays)."""
+    if spark.conf.get(ROWS_PER_BATCH) == "10000":
+        spark.conf.set(ROWS_PER_BATCH, "1000")
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return

@@ -35,7 +35,8 @@ from .common import table, written
 STATES, VOCAB, ROUNDS, SEGMENT = 6, 1 << 17, 4, 96
 ADD, PRIOR, BLOCK = 0.1, 50.0, 4096
 END = b""          # no word is empty
-_SLICE = 400_000   # tokens that a recursion holds at once
+_SLICE = 400_000   # tokens that a recursion with kept rows holds at once
+_TOGETHER = 4_000_000
 
 
 @dataclass
@@ -225,18 +226,31 @@ def sequence_scores(coded: DataFrame, t: Tables, symbol_log: np.ndarray) -> Data
     probability of every whole symbol sequence, and its sum of ``symbol_log``."""
     shared = coded.sparkSession.sparkContext.broadcast((t, symbol_log))
 
-    @F.pandas_udf("symbols_score double, base_log double")
-    def score(ids: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables, logs = shared.value
-        for batch in ids:
-            seqs = [np.frombuffer(b, np.int32) for b in batch]
+        for rows in gathered(batches):
+            seqs = [np.frombuffer(b, np.int32) for b in rows.pop("ids")]
             out = np.zeros(len(seqs))
-            for group in in_step(np.array([len(s) for s in seqs]), 4 * _SLICE):
+            for group in in_step(np.array([len(s) for s in seqs]), _TOGETHER):
                 out[group] = forward([seqs[i] for i in group], tables)[0]
-            yield pd.DataFrame({"symbols_score": out / np.log(10), "base_log": [logs[s].sum() for s in seqs]})
-
-    return coded.select("row", "doc_id", "held_out", "n_tokens", score(F.col("ids")).alias("s")).select(
-        "row", "doc_id", "held_out", "n_tokens", "s.*")
+            yield rows.assign(symbols_score=out / np.log(10), base_log=[logs[s].sum() for s in seqs])
+
+    return coded.select("row", "doc_id", "held_out", "n_tokens", "ids").mapInPandas(
+        score, "row long, doc_id long, held_out boolean, n_tokens long, symbols_score double, base_log double")
+
+
+def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together to about ``_TOGETHER`` tokens, so that long texts
+    are stepped through next to many others."""
+    held, tokens = [], 0
+    for b in batches:
+        held.append(b)
+        tokens += int(b["n_tokens"].sum())
+        if tokens >= _TOGETHER:
+            yield pd.concat(held, ignore_index=True)
+            held, tokens = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def score_documents(docs: DataFrame, states: int = STATES, vocab_size: int = VOCAB, rounds: int = ROUNDS) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, table
 from .ngrams import DIMS, NgramHasher, presence_counts
 
-SAMPLE, EPOCHS, COST, SMOOTH = 6_000, 12, 1.0, 1.0
+SAMPLE, EPOCHS, COST, SMOOTH = 6_000, 12, 1.0, 4.0
 ACCEPT = 0.3       # predicted is 1 from this score on
 
 
@@ -123,13 +123,12 @@ def class_counts(rows: DataFrame, classes: int, dims: int = DIMS) -> tuple[np.nd
             yield pd.DataFrame({"label": k, "feature": np.append(f, -1), "n": np.append(counts[k][f], seen[k])})
 
     got = (rows.select("text", "label").mapInPandas(partial, "label int, feature int, n long")
-           .groupBy("label", "feature").agg(F.sum("n").alias("n")).toPandas())
+           .groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow())
     totals, counts = np.zeros(classes), np.zeros((classes, dims))
-    for label, feature, n in zip(got["label"], got["feature"], got["n"]):
-        if feature < 0:
-            totals[label] = n
-        else:
-            counts[label, feature] = n
+    label, feature, n = (got[c].to_numpy() for c in ("label", "feature", "n"))
+    whole = feature < 0
+    totals[label[whole]] = n[whole]
+    counts[label[~whole], feature[~whole]] = n[~whole]
     return totals, counts
 
 
@@ -146,9 +145,9 @@ def sample_features(rows: DataFrame, share: float, dims: int = DIMS) -> tuple[li
 
     got = (rows.where(key < F.lit(int(share * (1 << 20)) + 1))
            .select("doc_id", "label", feats(F.col("text")).alias("f"), F.pmod(key, F.lit(5)).alias("fold"))
-           .toPandas().sort_values(["doc_id", "label"], kind="stable"))
-    return ([np.frombuffer(f, np.int32) for f in got["f"]], got["label"].to_numpy(np.int64),
-            got["fold"].to_numpy(np.int64))
+           .toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")]))
+    return ([np.frombuffer(f, np.int32) for f in got["f"].to_pylist()], got["label"].to_numpy().astype(np.int64),
+            got["fold"].to_numpy().astype(np.int64))
 
 
 def fit_binary(totals: np.ndarray, counts: np.ndarray, feats: list[np.ndarray], y: np.ndarray,
@@ -158,9 +157,9 @@ def fit_binary(totals: np.ndarray, counts: np.ndarray, feats: list[np.ndarray],
     share = (totals[1] + 1) / (totals.sum() + 2)
     if min(totals) == 0 or len(np.unique(y)) < 2:
         return constant_model(share, dims)
-    p, q = counts[1] + SMOOTH, counts[0] + SMOOTH
-    ratio = np.log(p / (totals[1] + 2 * SMOOTH)) - np.log(q / (totals[0] + 2 * SMOOTH))
-    ratio[(counts[0] + counts[1]) == 0] = 0.0
+    # SMOOTH texts more per feature, split as the classes are: an unseen feature has ratio 0
+    part = totals / totals.sum()
+    ratio = np.log((counts[1] + SMOOTH * part[1]) / part[1]) - np.log((counts[0] + SMOOTH * part[0]) / part[0])
     sign = np.where(y > 0, 1.0, -1.0)
     learn, hold = fold != 0, fold == 0
     if len(np.unique(y[hold])) < 2 or len(np.unique(y[learn])) < 2:

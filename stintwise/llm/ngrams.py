@@ -10,14 +10,15 @@ import xxhash
 
 DIMS = 1 << 18
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-_MEMO_SIZE = 400_000
+_MEMO_SIZE = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 class NgramHasher:
     """Sorted distinct feature numbers below ``dims`` of a text's token
-    unigrams and bigrams (runs of letters, digits and signs, lower-cased;
-    whether a run of letters was all capitals is kept as a token of its own)."""
+    unigrams and bigrams (runs of letters, digits and signs, lower-cased) and
+    of the trigrams of its token shapes: letters, capitals, digits or signs,
+    and whether a token repeats the one before it."""
 
     def __init__(self, dims: int = DIMS):
         self.dims, self.memo = dims, {}
@@ -25,8 +26,12 @@ class NgramHasher:
     def _code(self, token: str) -> int:
         if len(self.memo) >= _MEMO_SIZE:
             self.memo.clear()
-        caps = len(token) > 3 and token.isupper()
-        h = self.memo[token] = xxhash.xxh3_64_intdigest(("\x01" if caps else "") + token.lower())
+        if token[0].isalpha():
+            shape = 2 if len(token) > 3 and token.isupper() else 1
+        else:
+            shape = 3 if token[0].isdigit() else 4
+        # the low three bits of a token's number are its shape
+        h = self.memo[token] = xxhash.xxh3_64_intdigest(token.lower()) & ~7 | shape
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -35,8 +40,11 @@ class NgramHasher:
         if not len(h):
             return np.empty(0, np.int32)
         pairs = h[:-1] * _P + (h[1:] ^ (h[1:] >> np.uint64(29)))
-        both = np.concatenate([h, pairs]) * _P >> np.uint64(40)
-        return np.unique(both.astype(np.int64) % self.dims).astype(np.int32)
+        shape = h & np.uint64(7)
+        shape[1:] += np.uint64(8) * (h[1:] == h[:-1])
+        three = (shape[:-2] * np.uint64(16) + shape[1:-1]) * np.uint64(16) + shape[2:] + np.uint64(1)
+        every = np.concatenate([h, pairs, np.unique(three) << np.uint64(33)]) * _P >> np.uint64(40)
+        return np.unique(every.astype(np.int64) % self.dims).astype(np.int32)
 
 
 def presence_counts(feats: Iterable[np.ndarray], dims: int) -> np.ndarray:

@@ -36,7 +36,7 @@ from .common import table
 SPACE = "▁"
 _CHUNK = re.compile(f"{SPACE}+[^{SPACE}]*|^[^{SPACE}]+")
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>\Z")
-MEMO = 250_000      # words per memo generation
+MEMO = 120_000      # words per memo generation
 
 
 class PieceBpe:
@@ -80,7 +80,7 @@ class PieceBpe:
     def compatible(self, left: str, right: str) -> bool:
         """Whether merging the characters of both leaves exactly the two; at a
         word's start (``left`` empty) the piece must come out of its own."""
-        if self.tested > 400_000:       # bounded memory; pairs are tested again
+        if self.tested > 300_000:       # bounded memory; pairs are tested again
             self.follow.clear()
             self.tested = 0
         self.tested += 1

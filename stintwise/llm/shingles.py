@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_MEMO_SIZE = 400_000
+_MEMO_SIZE = 150_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
