@@ -4,16 +4,16 @@ One permutation spreads the shingles over a universe of 2^32 positions, a
 second one, circularly shifted by k, gives the k-th coordinate of the
 signature: h_k = min over x of pi((sigma(x) + k) mod 2^32). ``BANDS`` bands of
 ``ROWS`` coordinates bucket the signatures; a pair at the threshold misses all
-bands with probability (1 - 0.75^4)^24 = 1e-4.
+bands with probability (1 - 0.75^4)^32 = 5e-6.
 
 Documents with equal shingle sets are one representative from the start (a
 map-side minimum), so groups of exact copies are never paired. In a bucket the
 members are compared with one hub, not with each other, and what agrees on the
 full sets (100 * intersection >= 75 * union) is linked. Buckets that still
 hold several components get other hubs (``HUB_ROUNDS``), and at the end every
-member outside the bucket's main component meets all members of other
-components: no candidate pair is dropped, only pairs already connected are not
-compared again.
+member outside a bucket's largest component is compared with all members of
+its other components, block by block: no candidate pair is dropped, only pairs
+already connected are not compared again, and only links leave a block.
 
 Defined results: null, empty and word-less texts have n_shingles 0 and are
 their own component; rows with a null id get a null component; rows that
@@ -34,7 +34,7 @@ from .common import broadcast_if_small, drop_written, table, written
 from .graph import components
 from .shingles import Shingler, mix64
 
-BANDS, ROWS, HUB_ROUNDS = 24, 4, 2
+BANDS, ROWS, HUB_ROUNDS, BLOCK = 32, 4, 2, 512
 PERCENT = 75
 _SIGMA = np.uint64(0xD1B54A32D192ED03)
 
@@ -137,18 +137,84 @@ def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
     return got.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b")).distinct()
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """In buckets with several components: every member outside the first one
-    with every member of another component (each pair once)."""
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(id, shingles): sorted 64-bit shingles as bytes."""
+
+    @F.pandas_udf("binary")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        shingler = Shingler()
+        for batch in batches:
+            yield pd.Series([shingler(t).tobytes() for t in batch], dtype=object)
+
+    return texts.select(F.col("doc_id").alias("id"), sets("text").alias("shingles"))
+
+
+def stray_links(left: pd.DataFrame, right: pd.DataFrame, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links of the strays among ``left`` with rows of ``right`` in other
+    components: one (the smallest id) per stray and component."""
+    left = left[left["stray"]]
+    if not len(left) or not len(right):
+        return []
+    sets = [np.frombuffer(b, np.uint64) for b in right["shingles"]]
+    sizes = np.array([len(x) for x in sets])
+    values, at = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    ids, parts, out = right["id"].to_numpy(), right["component"].to_numpy(), []
+    mark = np.zeros(len(values), np.int32)
+    for i, part, b in zip(left["id"], left["component"], left["shingles"]):
+        mine = np.frombuffer(b, np.uint64)
+        found = np.searchsorted(values, mine)
+        found = found[found < len(values)]
+        found = found[np.isin(values[found], mine, assume_unique=True)]
+        mark[found] = 1
+        both = np.add.reduceat(mark[at], starts)
+        mark[found] = 0
+        near = np.flatnonzero((100 * both >= percent * (sizes + len(mine) - both)) & (parts != part))
+        for c in np.unique(parts[near]):
+            j = ids[near[parts[near] == c]].min()
+            out.append((min(i, j), max(i, j)))
+    return out
+
+
+def _rest_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links across the components that still share a bucket: every member
+    outside the bucket's largest component is compared with all the bucket's
+    members, block by block on the full sets. Only links leave a block."""
     per = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     main = per.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"),
-                                     F.count("*").alias("parts")).where("parts > 1")
+                                     F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    main = main.select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     rows = members.join(main, "bucket")
-    stray = rows.where("component <> main").select(
-        "bucket", F.col("id").alias("x"), F.col("n_shingles").alias("x_n"), F.col("component").alias("x_component"))
-    got = stray.join(rows, "bucket").where("x_component <> component AND (component = main OR x < id)")
-    got = got.where(_sized("n_shingles", "x_n"))
-    return got.select(F.least("x", "id").alias("a"), F.greatest("x", "id").alias("b")).distinct()
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = rows.select("bucket", "id", "component", "blocks", mine.alias("mine"),
+                       (F.col("component") != F.col("main")).alias("stray"))
+    rows = written(rows, "rest")
+    ids = rows.select("id").distinct()
+    wanted = texts.join(broadcast_if_small(ids, ids.count(), 48), texts["doc_id"] == ids["id"], "left_semi")
+    sets = written(shingle_sets(wanted.dropDuplicates(["doc_id"])), "rest-sets")
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "mine",
+                       "id", "component", "stray").join(sets, "id")
+
+    def compare(g: pd.DataFrame) -> pd.DataFrame:
+        i, j = g["i"].iloc[0], g["j"].iloc[0]
+        if not g["stray"].any():
+            return pd.DataFrame({"a": [], "b": []})
+        left, right = g[g["mine"] == i], g[g["mine"] == j]
+        out = stray_links(left, right)
+        if i != j:
+            out += stray_links(right, left)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return rows.groupBy("bucket", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _joined(links: DataFrame | None, found: DataFrame, labels: DataFrame | None):
+    """The links with those found, and the components of all."""
+    if found.isEmpty():
+        return links, labels
+    links = found if links is None else links.unionByName(found)
+    return links, components(links)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -164,22 +230,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = written(rows.join(shared, "bucket"), "buckets")
 
     labels, links, tested = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        now = _with_component(members, labels)
-        pairs = _rest_pairs(now) if turn == HUB_ROUNDS else _hub_pairs(now, turn)
+    for turn in range(HUB_ROUNDS):
+        pairs = _hub_pairs(_with_component(members, labels), turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         found = written(verified(pairs, texts), "found")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        if found.isEmpty():
-            if turn == 0 and pairs.isEmpty():
-                break
-            continue
-        links = found if links is None else links.unionByName(found)
-        old, labels = labels, components(links)
-        if old is not None:
-            drop_written(old)
+        links, labels = _joined(links, found, labels)
+    now = _with_component(members, labels)
+    found = written(_rest_links(now, texts), "found")
+    _, labels = _joined(links, found, labels)
     drop_written(members)
 
     of_set = reps.select("set_a", "set_b", F.col("id"))
