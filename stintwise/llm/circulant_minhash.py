@@ -61,7 +61,7 @@ def signature(shingles: np.ndarray, coordinates: int = BANDS * ROWS) -> np.ndarr
 
 def band_keys(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     """(rows, bands) 64-bit bucket keys of (rows, coordinates) signatures."""
-    parts = signatures.reshape(len(signatures), bands, -1).astype(np.uint64)
+    parts = signatures.reshape(len(signatures), bands, signatures.shape[1] // bands).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), parts.shape[:2]).copy()
     for r in range(parts.shape[2]):
         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])

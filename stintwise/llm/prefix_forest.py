@@ -62,7 +62,7 @@ class Forest:
     """Search over ``rows`` (id, v: array); built lazily by Spark."""
 
     def __init__(self, rows: DataFrame, d: int, n: int, trees: int = TREES, letters: int = LETTERS):
-        self.spark, self.d, self.n, self.letters = rows.sparkSession, d, n, letters
+        self.spark, self.n, self.trees, self.letters = rows.sparkSession, n, trees, letters
         self.bits = int(np.ceil(np.log2(2 * (d + 1))))
         turns = self.spark.sparkContext.broadcast(rotations(d + 1, trees, letters))
         norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
@@ -107,9 +107,10 @@ class Forest:
     def audit(self, queries: DataFrame, held: DataFrame, k: int) -> int:
         """The smallest candidate number at which the audit queries' runs hold
         ``RECALL`` of their true neighbours."""
+        least = self.trees * (k + 1)     # a row is at most once in each tree: at least k others
         few = queries.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "v", "q_strings").collect()
         if not few:
-            return 1
+            return least
         ids = np.array([r["id"] for r in few])
         x, strings = np.array([r["v"] for r in few], np.float64), np.array([r["q_strings"] for r in few], np.int64)
         letters, bits = self.letters, self.bits
@@ -138,10 +139,10 @@ class Forest:
         true = found.withColumn("r", rank).where(F.col("r") <= k).select("qid", "common").toPandas()
         entries = held.where(F.col("qid").isin([int(i) for i in ids])).toPandas()
         if not len(true):
-            return 1
+            return least
         held_at = {(q, d): e for q, d, e in zip(entries["qid"], entries["depth"], entries["entries"])}
-        m = 2 * k
-        while m < 2 * self.n * TREES:
+        m = least
+        while m < 2 * self.n * self.trees:
             depth = {q: max([d for d in range(1, letters + 1) if held_at.get((q, d), 0) >= m], default=0) for q in ids}
             if (true["common"] >= true["qid"].map(depth)).mean() >= RECALL:
                 return m
@@ -232,8 +233,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     rows, d, n = usable_rows(vectors.where(F.col(key).isNotNull()), column)
     if not n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = Forest(rows.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")), d, n)
-    return forest.search(forest.rows.where(F.col("id") % every == 0).dropDuplicates(["id"]), k)
+    rows = rows.select(F.col(key).cast("long").alias("id"), F.col(column).alias("v")).dropDuplicates(["id"])
+    forest = Forest(rows, d, n)
+    return forest.search(forest.rows.where(F.col("id") % every == 0), k)
 
 
 def op6_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
