@@ -82,9 +82,11 @@ def next_season_roster(players: DataFrame, spec: SeasonSpec, last) -> DataFrame:
     ``explode`` and the second copy becomes the placeholder: one pass over
     the table, no union reading it twice, no distinct.
     """
-    is_last = F.col(spec.period) == F.lit(last)
+    following = F.lead(spec.period).over(Window.partitionBy(spec.entity).orderBy(spec.period))
+    # no placeholder where the entity has a real row in the next period
+    is_last = (F.col(spec.period) == F.lit(last)) & ~following.eqNullSafe(F.lit(last) + 1)
     copies = F.when(is_last, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    x = players.withColumn("_ph", F.explode(copies))
+    x = players.withColumn("_copies", copies).withColumn("_ph", F.explode("_copies")).drop("_copies")
     ph = F.col("_ph")
     types = {f.name: f.dataType for f in players.schema.fields}
     out = []

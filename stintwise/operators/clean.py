@@ -16,11 +16,11 @@ def clean_lines(df: DataFrame, rank: str = "Rk", name: str = "Player") -> DataFr
 
     ``df`` holds the CSV fields as text. A blank line reads as all-NULL
     fields; a header line repeats the field names (its rank field reads
-    ``rank``).
+    ``rank``). A player's line whose rank is blank stays.
     """
     return (
-        df.filter(F.col(name).isNotNull() & F.col(rank).isNotNull())
-        .filter(F.col(rank) != F.lit(rank))
+        df.filter(F.col(name).isNotNull())
+        .filter(~F.col(rank).eqNullSafe(F.lit(rank)))
         .withColumn(name, clean_name(name))
     )
 
@@ -71,12 +71,12 @@ def dedupe_prefer_total(df: DataFrame, spec: SeasonSpec) -> DataFrame:
     (entity, period), so a hot key never gathers its rows in one task.
     """
     order = [
-        (F.col(spec.club) != F.lit(spec.total_club)).asc(),
+        F.col(spec.club).eqNullSafe(F.lit(spec.total_club)).desc(),
         F.col(spec.games).desc_nulls_last(),
-        F.col(spec.club).asc(),
+        F.col(spec.club).asc_nulls_last(),
     ]
     if spec.rank and spec.rank in df.columns:
-        order.append(F.col(spec.rank).asc())
+        order.append(F.col(spec.rank).asc_nulls_last())
     w = Window.partitionBy(spec.entity, spec.period).orderBy(*order)
     return (df.withColumn("_pick", F.row_number().over(w))
             .filter(F.col("_pick") == 1).drop("_pick"))

@@ -62,7 +62,9 @@ def fit_next_season(train: DataFrame, test: DataFrame, stat: str, seed: int = 42
                     parallelism: int = 8):
     """Fit the reference's grid on ``train``, predict ``test``.
 
-    Returns (predictions: name, year, prediction, label; best model).
+    Returns (predictions: name, year, prediction, label; best model). Rows
+    without a feature or label do not train; every row of ``test`` is in the
+    output, with a NULL prediction if a feature is missing.
     ``parallelism`` candidates are fitted at once (each fit is one small
     aggregation job, so the grid is bound by job latency, not data).
     """
@@ -73,7 +75,7 @@ def fit_next_season(train: DataFrame, test: DataFrame, stat: str, seed: int = 42
     from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 
     s0 = f"{stat.lower()}0"
-    assembler = VectorAssembler(inputCols=["exp", s0], outputCol="features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=["exp", s0], outputCol="features", handleInvalid="error")
     lr = LinearRegression(featuresCol="features", labelCol="label")
     grid = (ParamGridBuilder()
             .addGrid(lr.regParam, list(REG_PARAMS))
@@ -84,8 +86,11 @@ def fit_next_season(train: DataFrame, test: DataFrame, stat: str, seed: int = 42
         estimator=Pipeline(stages=[assembler, lr]),
         evaluator=RegressionEvaluator(labelCol="label", metricName="rmse"),
         estimatorParamMaps=grid, trainRatio=TRAIN_RATIO, seed=seed, parallelism=parallelism)
-    model = tvs.fit(train.filter(F.col("label").isNotNull()))
-    pred = model.transform(test).select("name", "year", "prediction", "label")
+    whole = F.col("exp").isNotNull() & F.col(s0).isNotNull()
+    model = tvs.fit(train.filter(F.col("label").isNotNull() & whole))
+    rows = test.withColumn("_whole", whole).fillna(0, subset=["exp", s0])
+    pred = model.transform(rows).select(
+        "name", "year", F.when(F.col("_whole"), F.col("prediction")).alias("prediction"), "label")
     return pred, model
 
 
@@ -95,7 +100,7 @@ def combine_predictions(preds: dict[str, DataFrame]) -> DataFrame:
     for stat, p in preds.items():
         p = p.select("name", "year", F.col("prediction").alias(f"p_{stat}"),
                      F.col("label").alias(f"l_{stat}"))
-        out = p if out is None else out.join(p, ["name", "year"])
+        out = p if out is None else out.join(p, ["name", "year"], "full")
     stats = list(preds)
     pred = sum((F.col(f"p_{s}") for s in stats[1:]), F.col(f"p_{stats[0]}"))
     label = sum((F.col(f"l_{s}") for s in stats[1:]), F.col(f"l_{stats[0]}"))

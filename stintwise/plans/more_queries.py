@@ -179,10 +179,11 @@ pairs AS (
   WHERE t.name IN (SELECT name FROM targets)),
 sim AS (
   SELECT CAST(experience AS BIGINT) AS experience, year, name, similar_player,
-    sqrt(sum(d2) OVER (PARTITION BY name, similar_player ORDER BY experience
-                       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-         / ({float(len(_S_Z))} * (experience + 1))) AS similarity_score
-  FROM pairs)"""
+    CASE WHEN count(*) OVER upto = count(d2) OVER upto
+         THEN sqrt(sum(d2) OVER upto / ({float(len(_S_Z))} * (experience + 1))) END AS similarity_score
+  FROM pairs
+  WINDOW upto AS (PARTITION BY name, similar_player ORDER BY experience
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
 @register("career_similarity", O.with_players("supplier", S, "SELECT * FROM sim",

@@ -42,7 +42,7 @@ def read_season_csv(spark: SparkSession, path: str, first: int | None = None,
     df = (spark.read.schema(CSV_SCHEMA).option("header", "false")
           .option("mode", "PERMISSIVE").csv(path))
     df = df.withColumn("year", F.regexp_extract(F.col("_metadata.file_path"), year_pattern, 1)
-                       .cast("int"))
+                       .try_cast("int"))
     if first is not None:
         df = df.filter(F.col("year") >= first)
     if last is not None:

@@ -25,7 +25,7 @@ def stage_new_season_files(spark: SparkSession, source_glob: str, target: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     raw = reader.csv(source_glob).withColumn(
-        "year", F.regexp_extract(F.col("_metadata.file_path"), YEAR_PATTERN, 1).cast("int"))
+        "year", F.regexp_extract(F.col("_metadata.file_path"), YEAR_PATTERN, 1).try_cast("int"))
     q = (parse_seasons(raw).writeStream.format("parquet")
          .option("checkpointLocation", checkpoint)
          .partitionBy("year").outputMode("append")
