@@ -17,6 +17,8 @@ that the documents whose likeliest domain is the reference domain are kept
 once on average. A document is emitted floor(r + u) times, u a uniform hash of
 its id.
 
+Tokens are runs of letters, digits or signs.
+
 Defined results: null and empty texts have no tokens, weigh nothing and get
 the rate of their posterior; a domain without labelled rows gets a small
 constant posterior; without labels every posterior is the same and every rate
@@ -39,7 +41,7 @@ from .ngrams import NgramHasher
 
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.97, "low_quality": 0.02, "toxic": 0.01}
-PULL, STEPS, TOLERANCE = 0.01, 40, 1e-5
+PULL, STEPS, TOLERANCE = 0.01, 40, 1e-3
 
 
 def domain_label() -> Column:
@@ -70,10 +72,13 @@ def posteriors(docs: DataFrame, models: list[nbsvm.Model]) -> DataFrame:
     def mix(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher = NgramHasher(dims)
         for batch in texts:
-            feats = [hasher(t) for t in batch]
+            feats, n = [], []
+            for t in batch:
+                feats.append(hasher(t))
+                n.append(hasher.tokens)
             p = np.column_stack([m.scores(feats) for m in shared.value])
             p /= p.sum(axis=1, keepdims=True)
-            yield pd.DataFrame({"n_tokens": [len(t.split()) if t else 0 for t in batch], "p": list(p)})
+            yield pd.DataFrame({"n_tokens": n, "p": list(p)})
 
     return docs.withColumn("_mix", mix(F.col("text")))
 

@@ -21,7 +21,7 @@ class NgramHasher:
     and whether a token repeats the one before it."""
 
     def __init__(self, dims: int = DIMS):
-        self.dims, self.memo = dims, {}
+        self.dims, self.memo, self.tokens = dims, {}, 0
 
     def _code(self, token: str) -> int:
         if len(self.memo) >= _MEMO_SIZE:
@@ -35,10 +35,15 @@ class NgramHasher:
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
-        memo, code = self.memo, self._code
-        h = np.array([memo.get(t) or code(t) for t in _TOKEN.findall(text or "")], dtype=np.uint64)
-        if not len(h):
+        tokens = _TOKEN.findall(text) if text else []
+        self.tokens = len(tokens)           # of the last text
+        if not tokens:
             return np.empty(0, np.int32)
+        codes = list(map(self.memo.get, tokens))
+        if None in codes:
+            memo, code = self.memo, self._code
+            codes = [memo.get(t) or code(t) for t in tokens]
+        h = np.fromiter(codes, np.uint64, len(codes))
         pairs = h[:-1] * _P + (h[1:] ^ (h[1:] >> np.uint64(29)))
         shape = h & np.uint64(7)
         shape[1:] += np.uint64(8) * (h[1:] == h[:-1])
