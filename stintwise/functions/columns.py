@@ -15,10 +15,6 @@ def zscore(x: Column | str, avg: Column | str, sd: Column | str) -> Column:
     return F.try_divide(_c(x) - _c(avg), _c(sd))
 
 
-def negated_zscore(x: Column | str, avg: Column | str, sd: Column | str) -> Column:
-    return -zscore(x, avg, sd)
-
-
 def weighted_impact(pct: Column | str, avg_pct: Column | str, attempts: Column | str) -> Column:
     """Volume-weighted impact (pct - avg(pct)) * attempts."""
     return (_c(pct) - _c(avg_pct)) * _c(attempts)

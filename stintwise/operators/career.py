@@ -46,10 +46,6 @@ def season_index(df: DataFrame, spec: SeasonSpec, col: str = "season_index") ->
     return df.withColumn(col, (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def first_season_entities(df: DataFrame, spec: SeasonSpec, first) -> DataFrame:
-    return df.filter(F.col(spec.period) == F.lit(first)).select(spec.entity).distinct()
-
-
 def exclude_first_season(df: DataFrame, spec: SeasonSpec, first) -> DataFrame:
     """Drop every row of entities active in period ``first`` (their careers
     are cut off by the start of the data). Exact membership, not a substring

@@ -20,6 +20,7 @@ from ..sources.tables import season_records
 from ..spec import CUSTOMER
 from . import oracle as O
 from . import season_tables as st
+from .sizing import cut_lineage
 
 # Parameters of the registered questions (the reference asks them of 2016,
 # 2015 and all time; here of seasons inside 1995..2001).
@@ -60,6 +61,16 @@ def _players(spark, sf_dir, kind="customer"):
     return st.players(spark, sf_dir, kind)
 
 
+def _deduped(spark, sf_dir):
+    """Customer seasons, one row per (name, year), without scores."""
+    return dedupe_prefer_total(season_records(spark, sf_dir, "customer"), CUSTOMER)
+
+
+def _deduped_table(spark, sf_dir):
+    """The same, written once for queries that pass over it twice."""
+    return cut_lineage(_deduped(spark, sf_dir), "season-records")
+
+
 C = CUSTOMER
 _C_RAW = list(C.raw)
 _C_Z = C.z_cols
@@ -73,7 +84,7 @@ _C_PLAYER_DOUBLES = _C_RAW + _C_Z + [C.z_total] + _C_N + [C.n_total]
           O.with_players("customer", C, "SELECT name, year, team, gp, pct1, m6 FROM dedup"),
           ["pct1", "m6"])
 def q_dedupe(spark, sf_dir):
-    d = dedupe_prefer_total(season_records(spark, sf_dir, "customer"), C)
+    d = _deduped(spark, sf_dir)
     return d.select("name", "year", "team", "gp", "pct1", "m6")
 
 
@@ -108,7 +119,7 @@ _AGGS = ("count", "avg", "stdev", "max", "min")
           O.with_players("customer", C, _summary_sql(_C_RAW, "dedup")),
           [f"{m}_{a}" for m in _C_RAW for a in _AGGS])
 def q_season_summary(spark, sf_dir):
-    d = dedupe_prefer_total(season_records(spark, sf_dir, "customer"), C)
+    d = _deduped(spark, sf_dir)
     return summary.summary_stats(d, ["year"], _C_RAW)
 
 
@@ -122,8 +133,7 @@ _STAGE_NAMES = [m.name for m in C.measures]
               + " FROM w_stage) AS st")),
           [f"{m}_{a}" for m in _STAGE_NAMES for a in _AGGS])
 def q_season_z_summary(spark, sf_dir):
-    d = dedupe_prefer_total(season_records(spark, sf_dir, "customer"), C)
-    return scores.first_stage_summary(d, C)
+    return scores.first_stage_summary(_deduped_table(spark, sf_dir), C)
 
 
 @register("season_summary_long",
@@ -141,7 +151,7 @@ def q_season_summary_long(spark, sf_dir):
           O.with_players("customer", C, "SELECT year, avg(att1) AS avg_att1 FROM players GROUP BY year"),
           ["avg_att1"])
 def q_mean_by_season(spark, sf_dir):
-    return explore.mean_by_season(_players(spark, sf_dir), C, "att1")
+    return explore.mean_by_season(_deduped(spark, sf_dir), C, "att1")
 
 
 # --- scores ----------------------------------------------------------------
@@ -157,8 +167,7 @@ def q_season_scores(spark, sf_dir):
           O.with_players("customer", C, "SELECT name, year, v_0 AS impact_w1, v_1 AS impact_w2 FROM w_stage"),
           ["impact_w1", "impact_w2"])
 def q_weighted_impact(spark, sf_dir):
-    d = dedupe_prefer_total(season_records(spark, sf_dir, "customer"), C)
-    return scores.weighted_impacts(d, C)
+    return scores.weighted_impacts(_deduped_table(spark, sf_dir), C)
 
 
 # --- careers ---------------------------------------------------------------
@@ -166,7 +175,7 @@ def q_weighted_impact(spark, sf_dir):
 @register("experience",
           O.with_players("customer", C, "SELECT name, year, age, exp FROM players"))
 def q_experience(spark, sf_dir):
-    return _players(spark, sf_dir).select("name", "year", "age", "exp")
+    return career.experience(_deduped(spark, sf_dir), C).select("name", "year", "age", "exp")
 
 
 _VALUE_ROWS_SQL = """,
@@ -189,7 +198,7 @@ def q_season_delta(spark, sf_dir):
 SELECT name, year, CAST(row_number() OVER (PARTITION BY name ORDER BY year) - 1 AS BIGINT) AS season_index
 FROM players"""))
 def q_season_index(spark, sf_dir):
-    return career.season_index(_players(spark, sf_dir), C).select("name", "year", "season_index")
+    return career.season_index(_deduped(spark, sf_dir), C).select("name", "year", "season_index")
 
 
 @register("exclude_first_season",
@@ -197,7 +206,7 @@ def q_season_index(spark, sf_dir):
 SELECT name, year FROM players
 WHERE name NOT IN (SELECT name FROM players WHERE year = {FIRST})"""))
 def q_exclude_first_season(spark, sf_dir):
-    return career.exclude_first_season(_players(spark, sf_dir), C, FIRST).select("name", "year")
+    return career.exclude_first_season(_deduped(spark, sf_dir), C, FIRST).select("name", "year")
 
 
 def _profile_sql(key: str, label: str, where: str = "") -> str:
@@ -241,14 +250,13 @@ _PLAYER_COLS = ["exp", "name", "year", "team", "age", "gp", *_C_RAW, *_C_Z, C.z_
 
 
 def _roster_sql() -> str:
-    ph = {"exp": "exp + 1", "name": "name", "year": f"CAST({LAST} + 1 AS BIGINT)", "age": "age + 1"}
-    sel = ", ".join(f'{ph.get(c, "NULL")} AS "{c}"' for c in _PLAYER_COLS)
+    following = ", ".join({"exp": "exp + 1", "age": "age + 1", "name": "name", "year": "year + 1"}
+                          .get(c, f'NULL AS "{c}"') for c in _PLAYER_COLS)
     return f""",
 roster AS (
   SELECT * FROM players
-  UNION
-  SELECT DISTINCT {sel}
-  FROM players WHERE year = {LAST})"""
+  UNION ALL
+  SELECT {following} FROM players WHERE year = {LAST})"""
 
 
 @register("next_season_roster",
@@ -259,18 +267,14 @@ def q_next_season_roster(spark, sf_dir):
 
 
 def _ml_sql() -> str:
-    sel = ["t2.name", "t2.year", "t2.age", "t2.exp", "t2.team", "t2.gp"]
-    inner = ["p2.name", "p2.year"]
-    for s in C.score_names:
-        low = s.lower()
-        sel += [f"coalesce(t1.{low}0, 0) AS {low}0", f't2."{s}" AS {low}', f"coalesce(t1.{low}diff, 0) AS {low}diff"]
-        inner += [f'p1."{s}" AS {low}0', f'(p2."{s}" - p1."{s}") AS {low}diff']
+    priors = "".join(f', lag("{s}") OVER career AS "before_{s}"' for s in C.score_names)
+    features = "".join(f', coalesce("before_{s}", 0) AS {s.lower()}0, "{s}" AS {s.lower()}, '
+                       f'coalesce("{s}" - "before_{s}", 0) AS {s.lower()}diff' for s in C.score_names)
     return f"""
-SELECT {", ".join(sel)}
-FROM roster AS t2 JOIN (
-  SELECT {", ".join(inner)}
-  FROM roster AS p1 JOIN roster AS p2 ON p1.name = p2.name AND p1.year = p2.year - 1
-) AS t1 ON t2.name = t1.name AND t2.year = t1.year"""
+SELECT name, year, age, exp, team, gp{features}
+FROM (SELECT *, lag(year) OVER career AS year_before{priors}
+      FROM roster WINDOW career AS (PARTITION BY name ORDER BY year)) AS in_order
+WHERE year_before = year - 1"""
 
 
 _ML_DOUBLES = [f"{s.lower()}{x}" for s in C.score_names for x in ("0", "", "diff")]

@@ -1,8 +1,9 @@
 """The reference's tables as DataFrame plans.
 
 ``players`` (scored, deduplicated seasons with experience), ``age`` and
-``experience`` profiles, ``ml`` (prior-season features). Each function is
-lazy; ``write_all`` saves them as catalog tables.
+``experience`` profiles, ``ml`` (prior-season features); ``write_all`` saves
+them as catalog tables. Building ``players`` runs jobs: it writes the
+deduplicated records and counts the per-period summary.
 """
 
 from __future__ import annotations
@@ -87,7 +88,7 @@ def write_tables(players_df: DataFrame, spec: SeasonSpec, db: str, last,
 
     spark = players_df.sparkSession
     create_database(spark, db)
-    write_table(players_df, f"{db}.players")
+    write_table(players_df, f"{db}.players", partition_by=[spec.period])   # one-season reads prune
     saved = spark.table(f"{db}.players")
     write_table(profile_by_age(saved, spec), f"{db}.age")
     write_table(profile_by_experience(saved, spec), f"{db}.experience")
