@@ -12,12 +12,13 @@ every row, so a query that finds too few ends with an exact search.
 brute force, and the smallest value of a doubling series is taken at which the
 runs hold ``RECALL`` of their true neighbours, so recall does not depend on
 the size of the table. Inner products become angles by one more coordinate
-(sqrt(max norm^2 - norm^2) for rows, 0 for queries). Runs are scored on half-precision
-vectors, then the best ``SHORTLIST`` of every query exactly, in double
-precision on the original vectors.
+(sqrt(max norm^2 - norm^2) for rows, 0 for queries).
 
 A run is split into blocks of ``ITEMS`` rows and ``QUERIES`` queries, so a hot
-prefix (or the root) spreads over as many groups as it needs.
+prefix (or the root) spreads over as many groups as it needs. A block scores
+the original vectors in double precision and gives the k best of every query
+by score, then id; equal vectors of a block are one node with its ids in
+order. The k best of a query's blocks are thus the k best of all its runs hold.
 
 Defined results: vectors that are null, zero, hold null or non-finite
 components or have another length than the longest take no part; fewer
@@ -38,7 +39,7 @@ from .common import broadcast_if_small, table, written
 from .vectors import matrix, packed, usable_rows
 
 TREES, LETTERS, RECALL, AUDIT = 56, 3, 0.95, 96
-ITEMS, QUERIES, PER_RUN, SHORTLIST = 8192, 2048, 32, 48
+ITEMS, QUERIES = 8192, 2048
 
 
 def rotations(d: int, trees: int, letters: int, seed: int = 5) -> np.ndarray:
@@ -58,6 +59,40 @@ def hash_strings(x: np.ndarray, turns: np.ndarray, letters: int, bits: int) -> n
     return out
 
 
+def block_best(x: np.ndarray, ids: np.ndarray, node: np.ndarray, y: np.ndarray, asked: np.ndarray,
+               k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, row id, score) of the k best rows of every query, by score,
+    then id. ``x`` has one vector a node, ``node`` the node of each row of ``ids``."""
+    order = np.lexsort((ids, node))
+    ids, node = ids[order], node[order]
+    size = np.bincount(node, minlength=len(x))
+    first = np.cumsum(size) - size
+    size = np.minimum(size, k + 1)          # one of them may be the query itself
+    d, out = x.shape[1], []
+    long = np.linalg.norm(x, axis=1).max()
+    for i in range(0, len(y), 256):
+        some = y[i:i + 256]
+        s = some @ x.T
+        m = min(k + 1, s.shape[1])
+        low = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+        # a matrix product rounds by position: what its error can hide is summed once more, the same way everywhere
+        low = low - 4 * d * np.finfo(np.float64).eps * long * np.linalg.norm(some, axis=1)
+        q, at = np.nonzero(s >= low[:, None])
+        step = max(1, (1 << 22) // d)
+        score = np.concatenate([(x[at[j:j + step]] * some[q[j:j + step]]).sum(axis=1) for j in range(0, len(q), step)])
+        each = size[at]
+        start = np.cumsum(each) - each
+        row = np.repeat(first[at] - start, each) + np.arange(each.sum())
+        q, got, score = np.repeat(q, each), ids[row], np.repeat(score, each)
+        other = got != asked[i + q]
+        q, got, score = q[other], got[other], score[other]
+        order = np.lexsort((got, -score, q))
+        q, got, score = q[order], got[order], score[order]
+        best = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out.append((asked[i + q[best]], got[best], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 class Forest:
     """Search over ``rows`` (id, v: array); built lazily by Spark."""
 
@@ -68,20 +103,19 @@ class Forest:
         norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
         top = rows.agg(F.max(norm2)).first()[0]
         bits = self.bits
+        self.kind = kind = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
 
-        @F.pandas_udf("strings array<int>, q_strings array<int>, half binary, scale float")
+        @F.pandas_udf("strings array<int>, q_strings array<int>, vec binary")
         def encode(vs: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for v in vs:
                 x = matrix(v)
                 rest = np.sqrt(np.maximum(top - (x * x).sum(axis=1), 0))
                 one = hash_strings(np.column_stack([x, rest]), turns.value, letters, bits)
                 two = hash_strings(np.column_stack([x, np.zeros(len(x))]), turns.value, letters, bits)
-                scale = np.abs(x).max(axis=1)
-                half = (x / scale[:, None]).astype(np.float16)
                 yield pd.DataFrame({"strings": list(one.astype(np.int32)), "q_strings": list(two.astype(np.int32)),
-                                    "half": [r.tobytes() for r in half], "scale": scale.astype(np.float32)})
+                                    "vec": [r.tobytes() for r in x.astype(kind)]})
 
-        self.rows = written(rows.select("id", "v", encode(F.col("v")).alias("e")).select("id", "v", "e.*"), "forest")
+        self.rows = written(rows.select("id", encode(F.col("v")).alias("e")).select("id", "e.*"), "forest")
 
     def runs(self, rows: DataFrame, strings: str, depths: Column, *keep: str) -> DataFrame:
         """Rows at each tree and depth (root once): tree, depth, prefix."""
@@ -108,18 +142,19 @@ class Forest:
         """The smallest candidate number at which the audit queries' runs hold
         ``RECALL`` of their true neighbours."""
         least = self.trees * (k + 1)     # a row is at most once in each tree: at least k others
-        few = queries.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "v", "q_strings").collect()
+        few = queries.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "vec", "q_strings").collect()
         if not few:
             return least
         ids = np.array([r["id"] for r in few])
-        x, strings = np.array([r["v"] for r in few], np.float64), np.array([r["q_strings"] for r in few], np.int64)
-        letters, bits = self.letters, self.bits
+        letters, bits, kind = self.letters, self.bits, self.kind
+        x = packed([r["vec"] for r in few], kind).astype(np.float64)
+        strings = np.array([r["q_strings"] for r in few], np.int64)
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                s = x @ matrix(b["v"]).T
+                s = x @ packed(b["vec"], kind).astype(np.float64).T
                 s[ids[:, None] == b["id"].to_numpy()[None, :]] = -np.inf
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 codes = np.stack(b["strings"].to_numpy()).astype(np.int64)
@@ -134,7 +169,7 @@ class Forest:
                             out.append((ids[q], s[q, j], common))
                 yield pd.DataFrame(out, columns=["qid", "score", "common"])
 
-        found = self.rows.select("id", "v", "strings").mapInPandas(best, "qid long, score double, common int")
+        found = self.rows.select("id", "vec", "strings").mapInPandas(best, "qid long, score double, common int")
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score")))
         true = found.withColumn("r", rank).where(F.col("r") <= k).select("qid", "common").toPandas()
         entries = held.where(F.col("qid").isin([int(i) for i in ids])).toPandas()
@@ -157,8 +192,8 @@ class Forest:
         need = self.audit(queries, held, k)
         depth = held.where(F.col("entries") >= need).groupBy("qid").agg(F.max("depth").alias("depth"))
         asked = queries.join(depth, queries["id"] == depth["qid"], "left").select(
-            "id", "half", "scale", "q_strings", F.coalesce("depth", F.lit(0)).alias("at"))
-        asked = self.runs(asked, "q_strings", F.array("at"), "id", "half", "scale")
+            "id", "vec", "q_strings", F.coalesce("depth", F.lit(0)).alias("at"))
+        asked = self.runs(asked, "q_strings", F.array("at"), "id", "vec")
         asked = written(asked, "asked-runs")
 
         # how each asked run is split: blocks of rows by blocks of queries
@@ -182,49 +217,31 @@ class Forest:
         def every(blocks: str) -> Column:
             return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
 
-        items = self.runs(self.rows, "strings", F.array(*[F.lit(d) for d in used]), "id", "half", "scale")
+        items = self.runs(self.rows, "strings", F.array(*[F.lit(d) for d in used]), "id", "vec")
         items = items.join(small, key).withColumns({"rb": block("row", "row_blocks"), "ask": F.lit(False)})
         items = items.withColumn("qb", every("query_blocks"))
         asks = asked.join(small, key).withColumns({"qb": block("query", "query_blocks"), "ask": F.lit(True)})
         asks = asks.withColumn("rb", every("row_blocks"))
-        cols = [*key, "rb", "qb", "ask", "id", "half", "scale"]
+        cols = [*key, "rb", "qb", "ask", "id", "vec"]
+
+        kind = self.kind
 
         def score(block: pd.DataFrame) -> pd.DataFrame:
             ask = block["ask"].to_numpy()
             q, r = block[ask], block[~ask]
             if not len(q) or not len(r):
-                return pd.DataFrame({"qid": [], "ids": []})
-            x = packed(r["half"], np.float16).astype(np.float32) * r["scale"].to_numpy()[:, None]
-            y = packed(q["half"], np.float16).astype(np.float32)
-            ids, asked_ids, out = r["id"].to_numpy(), q["id"].to_numpy(), []
-            for i in range(0, len(y), 256):
-                s = y[i:i + 256] @ x.T
-                s[asked_ids[i:i + 256, None] == ids[None, :]] = -np.inf
-                m = min(PER_RUN, s.shape[1])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-                scale = q["scale"].to_numpy()[i:i + 256]
-                for j in range(len(s)):
-                    t = top[j][np.isfinite(s[j, top[j]])]
-                    out.append((asked_ids[i + j], ids[t], s[j, t] * scale[j]))
-            return pd.DataFrame(out, columns=["qid", "ids", "near"])
+                return pd.DataFrame({"qid": [], "id": [], "score": []})
+            node, vecs = pd.factorize(r["vec"].to_numpy())
+            best = block_best(packed(vecs, kind).astype(np.float64), r["id"].to_numpy(), node,
+                              packed(q["vec"], kind).astype(np.float64), q["id"].to_numpy(), k)
+            return pd.DataFrame(dict(zip(("qid", "id", "score"), best)))
 
         near = items.select(*cols).unionByName(asks.select(*cols)).groupBy(*key, "rb", "qb").applyInPandas(
-            score, "qid long, ids array<long>, near array<float>")
-        near = near.select("qid", F.explode(F.arrays_zip("ids", "near")).alias("c")).groupBy(
-            "qid", F.col("c.ids").alias("id")).agg(F.max("c.near").alias("near"))
-        order = Window.partitionBy("qid").orderBy(F.desc("near"), "id")
-        short = near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SHORTLIST).select("qid", "id")
-        own = queries.select(F.col("id").alias("qid"), F.col("v").alias("qv"))
-        pairs = short.join(self.rows.select("id", "v"), "id").join(own, "qid")
-
-        @F.pandas_udf("double")
-        def exact(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series((matrix(a) * matrix(b)).sum(axis=1) if len(a) else [], dtype=float)
-
+            score, "qid long, id long, score double")
+        near = near.groupBy(F.col("qid").alias("query_id"), F.col("id").alias("vec_id")).agg(
+            F.max("score").alias("score"))
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        got = pairs.select(F.col("qid").alias("query_id"), F.col("id").alias("vec_id"), exact("qv", "v").alias("score"))
-        got = got.dropDuplicates(["query_id", "vec_id"])
-        return got.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select(
+        return near.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select(
             "query_id", "rank", "vec_id", "score")
 
 
