@@ -6,7 +6,10 @@ random hyperplane codes (several orders), each vector keeping its best
 of neighbours (links of both directions, at least one of them new), keep what
 is better, and double the list of every vector whose list is saturated, that
 is full of neighbours at the threshold. A bounded audit compares the result
-with brute force and adds further orders while the recall is too low.
+with brute force, node by node, once over all nodes and once over those outside
+the largest component, which a hot group would hide; the orders are doubled
+until it holds. Where the orders' windows would compare as much as all pairs,
+all pairs are compared block by block instead.
 
 Threshold edges give the components. Lists that stayed saturated are enlarged
 to their whole component: its members are compared block by block and only
@@ -38,7 +41,7 @@ THRESHOLD, FLOOR = 0.9, 0.5
 LIST, WINDOW, ROUNDS, BITS = 12, 6, 5, 62
 AUDIT, RECALL, BLOCK = 256, 0.98, 1024
 #: Similarity and chance of a miss for which the number of orders is laid out.
-DESIGN_COS, DESIGN_MISS = 0.93, 0.01
+DESIGN_COS, DESIGN_MISS = THRESHOLD, 0.01
 
 
 def order_count(n: int) -> int:
@@ -139,23 +142,61 @@ def descent(pairs: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> DataFra
 
 
 def audit(nodes: DataFrame, labels: DataFrame) -> float:
-    """Share of the true links of ``AUDIT`` nodes that lie in one component."""
-    few = nodes.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).select("id", "u").collect()
-    ids, x = np.array([r["id"] for r in few]), packed([r["u"] for r in few])
+    """Share of audit nodes with true links whose every link lies in their
+    component: the lower one of ``AUDIT`` of all nodes and of ``AUDIT`` nodes
+    outside the largest component."""
+    at = nodes.select("id", "u").join(labels.select("id", "component"), "id", "left").withColumn(
+        "component", F.coalesce("component", "id"))
+    largest = labels.groupBy("component").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "component").first()
+    outside = at.where(F.col("component") != largest["component"]) if largest else at
+    groups = [g.orderBy(F.xxhash64("id", F.lit("audit")), "id").limit(AUDIT).collect() for g in (at, outside)]
+    few = list({r["id"]: r for g in groups for r in g}.values())
+    if not few:
+        return 1.0
+    ids, own = np.array([r["id"] for r in few]), np.array([r["component"] for r in few])
+    x = packed([r["u"] for r in few])
 
     def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        true, same = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for b in batches:
             if len(b):
-                i, j = np.nonzero(x @ packed(b["u"]).T >= THRESHOLD)
-                other = b["id"].to_numpy()[j]
-                yield pd.DataFrame({"a": ids[i], "b": other})[ids[i] != other]
-
-    true = nodes.select("id", "u").mapInPandas(links, "a long, b long")
-    at = labels.select("id", "component")
-    got = (true.join(at.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-           .join(at.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left"))
-    n, same = got.agg(F.count("*"), F.count(F.when(F.col("ca") == F.col("cb"), 1))).first()
-    return same / n if n else 1.0
+                hit = (x @ packed(b["u"]).T >= THRESHOLD) & (ids[:, None] != b["id"].to_numpy()[None, :])
+                true += hit.sum(axis=1)
+                same += (hit & (own[:, None] == b["component"].to_numpy()[None, :])).sum(axis=1)
+        yield pd.DataFrame({"id": ids, "links": true, "same": same})
+
+    got = at.mapInPandas(links, "id long, links long, same long").groupBy("id").agg(
+        F.sum("links").alias("links"), F.sum("same").alias("same")).where("links > 0").collect()
+    whole = {r["id"]: r["links"] == r["same"] for r in got}
+    shares = [[whole[r["id"]] for r in g if r["id"] in whole] for g in groups]
+    return min((float(np.mean(g)) for g in shares if g), default=1.0)
+
+
+def all_links(nodes: DataFrame, n: int, size: int = 2 * BLOCK) -> DataFrame:
+    """(a, b) that join every two nodes at the threshold, over a path of such
+    pairs: all are compared block by block, and a block pair emits each node
+    with the smallest one it reaches there."""
+    blocks = -(-n // size)
+    rows = nodes.select("id", "u", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("mine"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.select(F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), "id", "u")
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        x, ids = packed(g["u"]), g["id"].to_numpy()
+        low = np.arange(len(ids))
+        i, j = np.nonzero(x @ x.T >= THRESHOLD)
+        while True:
+            now = low.copy()
+            np.minimum.at(now, i, low[j])
+            now = now[now]
+            if (now == low).all():
+                break
+            low = now
+        other = low != np.arange(len(ids))
+        return pd.DataFrame({"a": ids[low[other]], "b": ids[other]})
+
+    return rows.groupBy("i", "j").applyInPandas(join, "a long, b long").distinct()
 
 
 def links_within(nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,8 +255,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embeddi
             pairs = pairs.unionByName(known).groupBy("a", "b").agg(F.max("cos").alias("cos"))
         known = descent(pairs, nodes)
         labels = components(known.where(F.col("cos") >= THRESHOLD))
-        if audit(nodes, labels) >= RECALL or done >= 4 * orders:
+        if audit(nodes, labels) >= RECALL:
+            break
+        if 2 * done * WINDOW >= n:
+            labels = components(written(all_links(nodes, n), "all-links"))
             break
+        orders = done
     links = links_within(nodes, labels)
     of_node = nodes.select("u", F.col("id").alias("node"), "weight")
     per = members.join(of_node, "u").join(labels.withColumnRenamed("id", "node"), "node", "left")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from stintwise.llm import prefix_forest
+from stintwise.llm import nn_descent, prefix_forest
 from stintwise.llm.common import ship
+from stintwise.llm.graph import components
 
 
 @pytest.fixture(scope="module", autouse=True)
@@ -33,3 +34,35 @@ def test_forest_among_many_equal_vectors(spark, noise):
         s[at] = -np.inf
         want = ids[np.lexsort((ids, -s))[:20]].tolist()
         assert [got[ids[at]][r] for r in range(1, 21)] == want
+
+
+def hot_and_pairs(spark):
+    """300 near copies and 40 pairs of cosine 0.91, as nodes."""
+    rnd = np.random.default_rng(6)
+    x = rnd.normal(size=(380, 32))
+    x[:300] = x[0] + 1e-3 * rnd.normal(size=(300, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for i in range(300, 380, 2):
+        side = x[i + 1] - (x[i + 1] @ x[i]) * x[i]
+        x[i + 1] = 0.91 * x[i] + np.sqrt(1 - 0.91 ** 2) * side / np.linalg.norm(side)
+    return spark.createDataFrame([(i, v.tobytes(), 1) for i, v in enumerate(x)], "id long, u binary, weight long")
+
+
+def test_audit_sees_lost_pairs_beside_a_hot_group(spark):
+    nodes = hot_and_pairs(spark)
+    lost = spark.createDataFrame([(i, 0) for i in range(300)], "id long, component long")
+    assert nn_descent.audit(nodes, lost) < nn_descent.RECALL
+    found = lost.unionByName(spark.createDataFrame([(i, i // 2 * 2) for i in range(300, 380)], lost.schema))
+    assert nn_descent.audit(nodes, found) == 1.0
+
+
+def test_all_links_join_what_blocks_part(spark):
+    got = components(nn_descent.all_links(hot_and_pairs(spark), 380, size=50)).collect()
+    assert {r["id"]: r["component"] for r in got} == {i: 0 for i in range(300)} | {i: i // 2 * 2 for i in range(300, 380)}
+
+
+def test_orders_are_laid_out_for_the_threshold():
+    same = 1 - np.arccos(nn_descent.THRESHOLD) / np.pi
+    n = 60_000
+    miss = (1 - same ** np.log2(n / nn_descent.WINDOW)) ** nn_descent.order_count(n)
+    assert miss <= nn_descent.DESIGN_MISS
