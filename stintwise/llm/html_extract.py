@@ -8,7 +8,14 @@ lengths are summed: a *surge* is the first line whose window rises above the
 threshold, a *dive* the point where a window has nothing left; the lines
 between are the main text. On pages that mark their article (``article`` or
 ``main``), lines outside it count zero and the threshold is zero, so the kept
-lines are the whole marked article, however short its paragraphs.
+lines are the whole marked article, however short its paragraphs; a mark that
+holds less text than the lines outside it (a teaser card, say) does not count.
+
+A class, id or role drops a block only when all words of one of its names are
+noise (``cookie-notice``, not ``has-sidebar``), headings and paragraphs of an
+article only as adverts, never a block that holds the page's only marked
+article, and no block of an article or of a page without one, adverts apart,
+that holds more than half of the page's text.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed
 elements end with the one that holds them; a truncated tag is dropped and a
@@ -35,6 +42,8 @@ _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)""
                   r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
+_PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+_ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo"}
 
 _RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "title", "select"}
 _DROP = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "label", "fieldset"}
@@ -55,26 +64,37 @@ _NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "spo
           "login", "signup", "copyright", "disclaimer", "contentinfo", "complementary", "search", "dialog", "alert"}
 
 
-def _noisy(attrs: str) -> bool:
+def _hidden(attrs: str) -> bool:
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if name in ("class", "id", "role"):
-            if not _NOISE.isdisjoint(_WORD.findall(value)):
-                return True
-        elif name == "style":
+        if name == "style":
             if "display:none" in value.replace(" ", ""):
                 return True
-        elif name == "hidden" and value != "false" or value == "true":
+        elif name not in ("class", "id", "role") and (name == "hidden" and value != "false" or value == "true"):
             return True
     return False
 
 
+def _noisy(attrs: str, noise: set[str] = _NOISE) -> bool:
+    for m in _ATTR.finditer(attrs):
+        if m[1].lower() in ("class", "id", "role"):
+            for token in (m[2] or "").strip("\"'").lower().split():
+                words = _WORD.findall(token)
+                if words and noise.issuperset(words):
+                    return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
     """(text, length without link text, in a marked article) of every line."""
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
     line: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, bool]] = []
+    noisy: list[int] = []           # open blocks that class, id or role call noise
+    holds: list[bool] = []          # of each such block: a marked article
+    weighs: list[bool | None] = []  # its size counts: always in an article, never for adverts, else (None) without an article
+    free = False                    # a marked article outside them
     opened: dict[str, int] = {}
     dropped = anchors = marked = 0
 
@@ -83,15 +103,17 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if line:
             text = " ".join("".join(line).split())
             if text:
-                out.append((text, max(0, len(text) - linked), marked > 0))
+                out.append((text, max(0, len(text) - linked), marked > 0, tuple(noisy)))
             line.clear()
         linked = 0
 
     def pop() -> None:
         nonlocal dropped, marked
-        name, drop = stack.pop()
+        name, drop, soft = stack.pop()
         opened[name] -= 1
         dropped -= drop
+        if soft:
+            noisy.pop()
         marked -= name in ("article", "main")
 
     pos, end = 0, len(page)
@@ -141,19 +163,39 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             anchors += 1
         if name in _VOID:
             continue
-        drop = name in _DROP or (name not in ("body", "html", "article", "main") and bool(attrs) and _noisy(attrs))
-        if drop or name in _HOLDERS:
-            stack.append((name, drop))
+        drop, soft = name in _DROP, False
+        if not drop and attrs and name not in ("body", "html", "article", "main"):
+            noise = _noisy(attrs, _ADVERTS if marked and name in _PARAGRAPHS else _NOISE)
+            drop = _hidden(attrs) or noise and name not in _BLOCK
+            soft = noise and not drop and not dropped
+        if drop or soft or name in _HOLDERS:
+            stack.append((name, drop, soft))
             opened[name] = opened.get(name, 0) + 1
             dropped += drop
-            marked += name in ("article", "main")
+            if soft:
+                noisy.append(len(holds))
+                holds.append(False)
+                weighs.append(False if _noisy(attrs, _ADVERTS) else True if marked else None)
+            if name in ("article", "main"):
+                if not marked and not dropped:
+                    free = free or not noisy
+                    for i in noisy:
+                        holds[i] = True
+                marked += 1
     flush()
-    return out
+    sizes = [0] * len(holds)
+    for text, _, _, within in out:
+        for i in within:
+            sizes[i] += len(text)
+    total = sum(len(t[0]) for t in out)
+    kept = [h and not free or (not free if w is None else w) and 2 * n > total for h, w, n in zip(holds, weighs, sizes)]
+    return [t[:3] for t in out if all(kept[i] for i in t[3])]
 
 
 def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
     """The lines between surge and dive points of the line-block distribution."""
-    marked = any(m for _, _, m in lines)
+    inner = sum(len(t) for t, _, m in lines if m)
+    marked = inner > 0 and inner >= sum(n for _, n, m in lines if not m)
     lengths = [(len(t) if m else 0) if marked else n for t, n, m in lines]
     n = len(lengths)
     sums = [sum(lengths[i:i + WINDOW]) for i in range(n)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from stintwise.llm import nn_descent, prefix_forest
+from stintwise.llm import html_extract, nn_descent, prefix_forest
 from stintwise.llm.common import ship
 from stintwise.llm.graph import components
 
@@ -66,3 +66,20 @@ def test_orders_are_laid_out_for_the_threshold():
     n = 60_000
     miss = (1 - same ** np.log2(n / nn_descent.WINDOW)) ** nn_descent.order_count(n)
     assert miss <= nn_descent.DESIGN_MISS
+
+
+def test_html_wrappers_and_teasers_keep_the_article():
+    text = "word " * 40
+    body = f"<h2 class='section-header'>Head</h2><p>{text}</p><p class='alert'>Mind this.</p>"
+    want = "Head\n" + text.strip() + "\nMind this."
+    for wrap in ("class='layout has-sidebar'", "id='post' class='comments-open'", "class='search-result-page'", "class='widget'"):
+        for mark in ("article", "main"):
+            page = f"<body><div {wrap}><{mark}>{body}</{mark}></div><div class='sidebar'>side</div></body>"
+            assert html_extract.main_text(page) == want
+    assert "Their past" in html_extract.main_text(f"<article><p>{text}</p><section id='social-history'>Their past</section></article>")
+    plain = f"<body><div class='content'><p>{text}</p><p>{text}</p></div><article><p>A teaser.</p></article></body>"
+    assert html_extract.main_text(plain).startswith(text.strip() + "\n" + text.strip())
+    most = f"<body><div id='comments'><p>{text}</p></div><p>Short.</p></body>"
+    assert text.strip() in html_extract.main_text(most)
+    less = f"<body><p>{text}</p><div class='cookie-notice'>We use them.</div><div class='ad box'>buy</div></body>"
+    assert html_extract.main_text(less) == text.strip()
