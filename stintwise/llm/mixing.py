@@ -7,10 +7,17 @@ p_dk over K domains. The document rates r_d >= 0 solve
 
 where w_d is the document's share of all tokens, E_k the domain's expected
 share and T_k its target, so expected domain token totals match the targets
-with rates near one. Projected gradient steps: each step needs only the K
-sums over all documents, which Spark aggregates; a document's rate is replayed
-from the K-vectors of the steps so far, so no rate table is carried along and
-a lost executor recomputes its part from the written posteriors.
+with rates near one. At the optimum r_d = max(0, 1 - p_d.y / PULL) with
+y_k = (sum_d w_d r_d p_dk - T_k) / E_k, so a K-vector y gives every rate. It is
+the minimum of the smooth, strongly convex dual
+
+    1/2 sum_k E_k y_k^2 + sum_k T_k y_k + PULL/2 sum_d w_d max(0, 1 - p_d.y / PULL)^2
+
+and found by Newton steps with a line search: each needs only K sums and the
+K x K Gram matrix of the documents with a positive rate, which Spark aggregates
+for all trial lengths at once. No rate table is carried along, and a lost
+executor recomputes its part from the written posteriors. The steps end when
+the residual of the optimality condition is below ``TOLERANCE``.
 
 Targets are shares, so one common factor on all rates is free: it is set so
 that the documents whose likeliest domain is the reference domain are kept
@@ -41,7 +48,7 @@ from .ngrams import NgramHasher
 
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.97, "low_quality": 0.02, "toxic": 0.01}
-PULL, STEPS, TOLERANCE = 0.01, 40, 1e-3
+PULL, TOLERANCE, TRIALS = 0.01, 1e-5, 8
 
 
 def domain_label() -> Column:
@@ -83,55 +90,68 @@ def posteriors(docs: DataFrame, models: list[nbsvm.Model]) -> DataFrame:
     return docs.withColumn("_mix", mix(F.col("text")))
 
 
-def rates_of(p: np.ndarray, steps: list[np.ndarray], pull: float = PULL) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` after the given gradient
-    steps (each the K-vector of scaled residuals), starting at one."""
-    r = np.ones(len(p))
-    for z in steps:
-        r = np.maximum(0.0, r - (p @ z + pull * (r - 1.0)) / (1.0 + pull))
-    return r
+def rates_of(p: np.ndarray, dual: np.ndarray, pull: float = PULL) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` at the dual K-vector (or at
+    each column of a matrix of them); zero gives rates of one."""
+    return np.maximum(0.0, 1.0 - p @ dual / pull)
 
 
-def _sums(mixed: DataFrame, steps: list[np.ndarray], k: int) -> np.ndarray:
-    """sum_d tokens_d r_d p_dk, by Spark."""
+def _sums(mixed: DataFrame, duals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``duals``, by Spark: sum_d tokens_d r_d p_dk, the Gram
+    matrix of tokens_d p_d over positive rates, and sum_d tokens_d r_d^2."""
+    m, k = duals.shape
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = np.zeros(k)
+        sums, gram, square = np.zeros((m, k)), np.zeros((m, k, k)), np.zeros(m)
         for b in batches:
             if len(b):
-                p = np.stack(b["p"].to_numpy())
-                out += (b["n_tokens"].to_numpy(np.float64) * rates_of(p, steps)) @ p
-        yield pd.DataFrame({"k": range(k), "s": out})
-
-    got = mixed.select("_mix.n_tokens", "_mix.p").mapInPandas(part, "k int, s double").groupBy("k").agg(F.sum("s"))
-    out = np.zeros(k)
+                p, w = np.stack(b["p"].to_numpy()), b["n_tokens"].to_numpy(np.float64)
+                r = rates_of(p, duals.T)
+                sums += (w[:, None] * r).T @ p
+                square += w @ (r * r)
+                for i in range(m):
+                    gram[i] += (p * (w * (r[:, i] > 0))[:, None]).T @ p
+        out = np.concatenate([sums.ravel(), gram.ravel(), square])
+        yield pd.DataFrame({"at": range(len(out)), "s": out})
+
+    got = mixed.select("_mix.n_tokens", "_mix.p").mapInPandas(part, "at int, s double").groupBy("at").agg(F.sum("s"))
+    out = np.zeros(m * (k + k * k + 1))
     for i, s in got.collect():
         out[i] = s
-    return out
+    return out[:m * k].reshape(m, k), out[m * k:m * (k + k * k)].reshape(m, k, k), out[m * (k + k * k):]
 
 
 def solve(mixed: DataFrame, targets: dict[str, float] = TARGETS, reference: str = "clean",
-          domains=DOMAINS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Gradient steps, target shares and reached shares (of today's tokens)."""
+          domains=DOMAINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Dual K-vector, target shares and reached shares (of today's tokens)."""
     k = len(domains)
-    before = _sums(mixed, [], k)
-    total = before.sum()
+    y = np.zeros(k)
+    sums, grams, squares = _sums(mixed, y[None, :])
+    total = sums[0].sum()
     if total == 0:
-        return [], np.zeros(k), np.zeros(k)
-    e = np.maximum(before / total, 1e-9)
+        return y, np.zeros(k), np.zeros(k)
+    now, gram = sums[0] / total, grams[0] / total
+    e = np.maximum(now, 1e-9)
     t = np.array([targets[d] for d in domains])
     t = t / t.sum()
     t = t / t[domains.index(reference)] * e[domains.index(reference)]
-    steps, now = [], before / total
-    for _ in range(STEPS):
-        steps.append((now - t) / e)
-        last, now = now, _sums(mixed, steps, k) / total
-        if (abs(now - last) / np.maximum(t, e)).max() < TOLERANCE:
+    value, longest = PULL / 2 * squares[0] / total, 1.0
+    while (abs(now - t - e * y) / np.maximum(t, e)).max() >= TOLERANCE:
+        step = np.linalg.solve(np.diag(e) + gram / PULL, now - t - e * y)
+        trial = y + longest * 0.5 ** np.arange(TRIALS)[:, None] * step
+        sums, grams, squares = _sums(mixed, trial)
+        values = 0.5 * (trial * trial) @ e + trial @ t + PULL / 2 * squares / total
+        best = values.argmin()
+        if values[best] < value:
+            y, now, gram, value, longest = trial[best], sums[best] / total, grams[best] / total, values[best], 1.0
+        elif longest < 1e-12:       # no shorter step can be told apart in doubles
             break
-    return steps, t, now
+        else:
+            longest *= 0.5 ** TRIALS
+    return y, t, now
 
 
-def common_factor(mixed: DataFrame, steps: list[np.ndarray], reference: int = 0) -> float:
+def common_factor(mixed: DataFrame, dual: np.ndarray, reference: int = 0) -> float:
     """One over the mean rate of the reference domain's documents (by Spark)."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -139,7 +159,7 @@ def common_factor(mixed: DataFrame, steps: list[np.ndarray], reference: int = 0)
         for b in batches:
             if len(b):
                 p = np.stack(b["p"].to_numpy())
-                r = rates_of(p, steps)[p.argmax(axis=1) == reference]
+                r = rates_of(p, dual)[p.argmax(axis=1) == reference]
                 n, s = n + len(r), s + r.sum()
         yield pd.DataFrame({"n": [n], "s": [s]})
 
@@ -147,12 +167,12 @@ def common_factor(mixed: DataFrame, steps: list[np.ndarray], reference: int = 0)
     return n / s if n and s > 0 else 1.0
 
 
-def with_rates(mixed: DataFrame, steps: list[np.ndarray], factor: float = 1.0) -> DataFrame:
+def with_rates(mixed: DataFrame, dual: np.ndarray, factor: float = 1.0) -> DataFrame:
     """``mixed`` with ``_rate`` and ``_copies``."""
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(factor * rates_of(np.stack(p.to_numpy()), steps) if len(p) else [], dtype=float)
+        return pd.Series(factor * rates_of(np.stack(p.to_numpy()), dual) if len(p) else [], dtype=float)
 
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (mixed.withColumn("_rate", rate(F.col("_mix.p")))
@@ -162,8 +182,8 @@ def with_rates(mixed: DataFrame, steps: list[np.ndarray], factor: float = 1.0) -
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` emitted as often as their rates say (same columns)."""
     mixed = written(posteriors(docs, fit_domains(docs, labels)), "mixing")
-    steps, _, _ = solve(mixed, targets)
-    out = with_rates(mixed, steps, common_factor(mixed, steps)).where("_copies > 0")
+    dual, _, _ = solve(mixed, targets)
+    out = with_rates(mixed, dual, common_factor(mixed, dual)).where("_copies > 0")
     again = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
     return out.withColumn("_again", again).select(*docs.columns)
 
@@ -173,9 +193,9 @@ def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     models = fit_domains(docs, table(spark, sf_dir, "labels"))
     mixed = written(posteriors(docs, models).drop("text"), "mixing")
-    steps, targets, reached = solve(mixed)
-    factor = common_factor(mixed, steps)
-    got = with_rates(mixed, steps, factor)
+    dual, targets, reached = solve(mixed)
+    factor = common_factor(mixed, dual)
+    got = with_rates(mixed, dual, factor)
     return got.select(
         "doc_id", F.col("_mix.n_tokens").alias("n_tokens"),
         *[F.col("_mix.p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)],

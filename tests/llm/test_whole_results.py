@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from stintwise.llm import html_extract, nn_descent, prefix_forest
+from stintwise.llm import html_extract, mixing, nn_descent, prefix_forest
 from stintwise.llm.common import ship
 from stintwise.llm.graph import components
 
@@ -68,6 +68,22 @@ def test_orders_are_laid_out_for_the_threshold():
     assert miss <= nn_descent.DESIGN_MISS
 
 
+def test_mixing_of_soft_posteriors_reaches_the_optimum(spark):
+    rnd = np.random.default_rng(8)
+    p = rnd.dirichlet([1.4, 0.4, 0.2], size=400)
+    tokens = rnd.integers(1, 200, 400)
+    rows = [(i, (int(n), [float(x) for x in v])) for i, (n, v) in enumerate(zip(tokens, p))]
+    mixed = spark.createDataFrame(rows, "doc_id long, _mix struct<n_tokens:long, p:array<double>>")
+    dual, target, reached = mixing.solve(mixed)
+    # projected gradient steps until nothing moves
+    w = tokens / tokens.sum()
+    e, r = w @ p, np.ones(400)
+    for _ in range(20_000):
+        r = np.maximum(0, r - (p @ (((w * r) @ p - target) / e) + mixing.PULL * (r - 1)) / (1 + mixing.PULL))
+    assert np.allclose(mixing.rates_of(p, dual), r, atol=1e-3)
+    assert np.allclose(reached, (w * r) @ p, atol=1e-5)
+
+
 def test_html_wrappers_and_teasers_keep_the_article():
     text = "word " * 40
     body = f"<h2 class='section-header'>Head</h2><p>{text}</p><p class='alert'>Mind this.</p>"
