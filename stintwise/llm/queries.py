@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, circulant_minhash, hmm, html_extract, mixing, nbsvm, nn_descent, piece_bpe, prefix_forest, url_filter
-
+from . import (chat_format, circulant_minhash, decontaminate, hmm, html_extract, mixing, nbsvm, nn_descent,
+               periodic_runs, piece_bpe, prefix_forest, shared_queries, url_filter)
 from .common import ship
 
 _OPERATORS = {
@@ -21,10 +21,11 @@ _OPERATORS = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_piece_bpe": piece_bpe.op9_piece_bpe,
     "op10_nbsvm": nbsvm.op10_nbsvm,
+    "op11_shared_queries": shared_queries.op11_shared_queries,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_aho_corasick": decontaminate.op13_aho_corasick,
 }
 
-
-
 def _registered(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -38,4 +39,6 @@ QUERIES = {name: _registered(fn) for name, fn in _OPERATORS.items()}
 ORACLE_SQL = {
     "op5_chat_format": chat_format.ORACLE,
     "op8_url_filter": url_filter.ORACLE,
+    "op11_shared_queries": shared_queries.ORACLE,
+    "op13_aho_corasick": decontaminate.ORACLE,
 }
