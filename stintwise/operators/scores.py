@@ -3,8 +3,9 @@ scores and their composites.
 
 Three passes, as in the reference, but each "broadcast map" is a per-period
 summary DataFrame (one row per period) joined back by a size-checked
-broadcast, so the season records are never shuffled by period (a few
-periods would mean a few giant partitions):
+broadcast (beyond the limit, replicated over salts), so the season records are
+never shuffled by period alone (a few periods would mean a few giant
+partitions):
 
 1. summary of raw values per period (avg, population stdev);
 2. first-stage values: impact ``(pct - avg) * attempts`` for weighted pairs,
@@ -15,12 +16,12 @@ periods would mean a few giant partitions):
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import max_abs_normalize, row_sum, weighted_impact, zscore
-from ..plans.sizing import checked_broadcast
+from ..plans.scope import keep
+from ..plans.sizing import checked_broadcast, join_few_keys
 from ..spec import NEGATED, WEIGHTED, SeasonSpec
 
 
@@ -61,11 +62,13 @@ def _first_stage_cols(spec: SeasonSpec) -> dict[str, F.Column]:
     return out
 
 
-def first_stage(df: DataFrame, spec: SeasonSpec, s1: DataFrame | None = None) -> DataFrame:
-    """Records with pass-2 values ``_v_j`` (impacts / z) attached."""
+def first_stage(df: DataFrame, spec: SeasonSpec, s1: DataFrame | None = None,
+                small: bool = True) -> DataFrame:
+    """Records with pass-2 values ``_v_j`` (impacts / z) attached. Records
+    without a period are scored against each other."""
     if s1 is None:
-        s1, _ = checked_broadcast(raw_period_summary(df, spec))
-    joined = df.join(s1, spec.period)
+        s1, small = checked_broadcast(raw_period_summary(df, spec))
+    joined = join_few_keys(df, s1, spec.period, spec.entity, small)
     return joined.withColumns(_first_stage_cols(spec))
 
 
@@ -88,18 +91,16 @@ def season_scores(df: DataFrame, spec: SeasonSpec, persist_input: bool = True) -
     already a written table (it is read by all three passes).
 
     Both summaries have one row per period and the same periods, so one
-    count of the first, budgeted for the wider second (4 values per
+    measurement of the first, budgeted for the wider second (4 values per
     measure), proves the broadcast bound for both.
     """
     base_cols = df.columns
     if persist_input:
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = keep(df)
     s1, small = checked_broadcast(raw_period_summary(df, spec),
                                   width_columns=1 + 4 * len(spec.measures))
-    stage = first_stage(df, spec, s1)
-    s2 = stage_summary(stage, spec)
-    s2 = F.broadcast(s2) if small else s2
-    scored = stage.join(s2, spec.period)
+    stage = first_stage(df, spec, s1, small)
+    scored = join_few_keys(stage, stage_summary(stage, spec), spec.period, spec.entity, small)
 
     z, n = {}, {}
     for j, m in enumerate(spec.measures):

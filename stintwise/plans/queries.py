@@ -354,7 +354,7 @@ _BEST_OF_SEASON = (f"(SELECT name FROM players WHERE year = {SEASON} "
                          + f" FROM players WHERE year = {SEASON} AND name = {_BEST_OF_SEASON}"),
           _C_Z + ["zTOT"])
 def q_entity_season_line(spark, sf_dir):
-    p = _players(spark, sf_dir).persist()   # read twice: best of season, then its line
+    p = cut_lineage(_players(spark, sf_dir), "players")   # read twice: best of season, then its line
     best = explore.top_by_season(p, C, SEASON, "zTOT", 1).select("name")
     return explore.entity_season_line(p, C, best, SEASON)
 
@@ -365,7 +365,7 @@ SELECT name, year, age, "nTOT" FROM players
 WHERE name IN (SELECT name FROM players ORDER BY "zTOT" DESC NULLS LAST, name, year LIMIT 3)"""),
           ["nTOT"])
 def q_entity_trajectory(spark, sf_dir):
-    p = _players(spark, sf_dir).persist()   # read twice: best seasons, then their series
+    p = cut_lineage(_players(spark, sf_dir), "players")   # read twice: best seasons, then their series
     top = explore.top_all_time(p, C, "zTOT", 3).select("name").distinct()
     return explore.entity_trajectory(p, C, top, "nTOT")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -58,3 +60,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     is joined as text and its scheme is kept."""
     root = ensure_checkpoint_dir(spark)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package's modules (once per application), for
+    clusters where it is installed on the driver only. Needed by the few
+    operators that run Python in tasks."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="stintwise-")) / "stintwise_core.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, Path(root.name) / p.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    _SHIPPED.add(app)
