@@ -5,7 +5,8 @@ label (this season's value); train on one season, predict the next.
 
 * ``ols_two_feature``: unpenalised least squares in closed form from
   population (co)variances, one aggregation (partial + final) over the data.
-* ``fit_next_season``: the reference's model search with ``pyspark.ml``:
+* ``search`` (its own module): the model search in one aggregation.
+* ``fit_next_season``: the same search with ``pyspark.ml``, a job per fit:
   VectorAssembler + LinearRegression in a Pipeline, a 30-candidate grid
   (regParam x fitIntercept x elasticNetParam) chosen by TrainValidationSplit
   (75 % train, RMSE), with a fixed seed. With two features the default

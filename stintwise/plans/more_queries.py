@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, nearest, predict, similar
+from ..operators import clean, nearest, predict, search, similar
 from ..operators.clean import dedupe_prefer_total
 from ..session import scratch_path
 from ..sources import csv as csvsrc
@@ -241,37 +241,111 @@ def q_ols_two_feature(spark, sf_dir):
 
 
 def _predictions(spark, sf_dir, train_year, stats=predict.MEASURES):
-    # the feature table feeds 2 splits x 30 fits x measures: write it once
-    # (a table in the checkpoint folder: the model search never replays it)
+    # the feature table is read by the fit and by the prediction: write it once
     ml = cut_lineage(_ml(spark, sf_dir), "ml-features")
-    out = {}
-    for s in stats:
-        pred, _ = predict.fit_next_season(predict.split(ml, s, train_year),
-                                          predict.split(ml, s, train_year + 1), s)
-        out[s] = pred
-    return out
-
-
-@register("next_season_prediction")
+    return search.predict(ml, search.fit(ml, stats, train_year), stats, train_year + 1)
+
+
+def _search_sql(train_year: int, stats=predict.MEASURES) -> str:
+    """Plain SQL of the same search: coefficients from the rows of the training
+    fold, errors row by row over the validation fold."""
+    rows = " UNION ALL ".join(
+        f"SELECT '{s}' AS stat, CASE WHEN substr(md5(concat_ws('|', name, year)), 1, 1) IN ('0', '4', '8', 'c') "
+        f"THEN 'v' ELSE 't' END AS part, CAST(exp AS DOUBLE) AS x1, {s}0 AS x2, {s} AS y FROM ml WHERE year = {train_year}"
+        for s in stats)
+    after = " UNION ALL ".join(
+        f"SELECT '{s}' AS stat, name, year, CAST(exp AS DOUBLE) AS x1, {s}0 AS x2, {s} AS y FROM ml WHERE year = {train_year + 1}"
+        for s in stats)
+    regs, nets = (", ".join(f"({v})" for v in vs) for vs in (predict.REG_PARAMS, predict.ELASTIC_NET))
+    return f""",
+fit_rows AS (SELECT * FROM ({rows}) AS u WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND y IS NOT NULL),
+sets AS (SELECT 't' AS s, * FROM fit_rows WHERE part = 't' UNION ALL SELECT 'e' AS s, * FROM fit_rows),
+moments AS (
+  SELECT s, stat, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2,
+    stddev_pop(y) AS sy, avg(x1 * x1) AS q11, avg(x2 * x2) AS q22, avg(x1 * x2) AS q12, avg(x1 * y) AS q1y,
+    avg(x2 * y) AS q2y, covar_pop(x1, x2) AS k12, covar_pop(x1, y) AS k1y, covar_pop(x2, y) AS k2y
+  FROM sets GROUP BY s, stat),
+grid AS (
+  SELECT CAST(reg AS DOUBLE) AS reg, icpt, CAST(net AS DOUBLE) AS net
+  FROM (VALUES {regs}) AS a(reg), (VALUES (true), (false)) AS b(icpt), (VALUES {nets}) AS c(net)),
+scaled AS (
+  SELECT *, reg * net / sy AS t,
+    CASE WHEN icpt THEN 1 ELSE q11 / (s1 * s1) END + reg * (1 - net) / sy AS g11,
+    CASE WHEN icpt THEN 1 ELSE q22 / (s2 * s2) END + reg * (1 - net) / sy AS g22,
+    CASE WHEN icpt THEN k12 ELSE q12 END / (s1 * s2) AS g12,
+    CASE WHEN icpt THEN k1y ELSE q1y END / (s1 * sy) AS a1,
+    CASE WHEN icpt THEN k2y ELSE q2y END / (s2 * sy) AS a2
+  FROM moments, grid),
+points AS (
+  SELECT *,
+    CASE WHEN i = 0 THEN 0 WHEN j = 0 THEN (a1 - i * t) / g11
+         ELSE (g22 * (a1 - i * t) - g12 * (a2 - j * t)) / (g11 * g22 - g12 * g12) END AS w1,
+    CASE WHEN j = 0 THEN 0 WHEN i = 0 THEN (a2 - j * t) / g22
+         ELSE (g11 * (a2 - j * t) - g12 * (a1 - i * t)) / (g11 * g22 - g12 * g12) END AS w2
+  FROM scaled, (VALUES (-1), (0), (1)) AS u(i), (VALUES (-1), (0), (1)) AS v(j)),
+solved AS (
+  SELECT s, stat, reg, icpt, net, m1, m2, my, w1 * sy / s1 AS b1, w2 * sy / s2 AS b2
+  FROM (SELECT *, row_number() OVER (
+          PARTITION BY s, stat, reg, icpt, net
+          ORDER BY g11 * w1 * w1 / 2 + g22 * w2 * w2 / 2 + g12 * w1 * w2 - a1 * w1 - a2 * w2
+                   + t * (abs(w1) + abs(w2))) AS place FROM points)
+  WHERE place = 1),
+coefs AS (SELECT *, CASE WHEN icpt THEN my - b1 * m1 - b2 * m2 ELSE 0 END AS b0 FROM solved),
+errors AS (
+  SELECT f.stat, reg, icpt, net, sqrt(avg((y - b0 - b1 * x1 - b2 * x2) * (y - b0 - b1 * x1 - b2 * x2))) AS rmse
+  FROM coefs c JOIN fit_rows f ON f.stat = c.stat AND c.s = 't' AND f.part = 'v'
+  GROUP BY f.stat, reg, icpt, net),
+best AS (
+  SELECT stat, reg, icpt, net FROM (
+    SELECT *, row_number() OVER (PARTITION BY stat ORDER BY rmse, reg DESC, icpt DESC, net) AS place FROM errors)
+  WHERE place = 1),
+predicted AS (
+  SELECT a.stat, name, year, b0 + b1 * x1 + b2 * x2 AS prediction, y AS label
+  FROM ({after}) AS a JOIN best USING (stat)
+  JOIN coefs c ON c.stat = a.stat AND c.s = 'e' AND c.reg = best.reg AND c.icpt = best.icpt AND c.net = best.net),
+summed AS (
+  SELECT name, year, sum(prediction) AS prediction,
+    CASE WHEN count(label) = count(*) THEN sum(label) END AS label
+  FROM predicted GROUP BY name, year)"""
+
+
+@register("next_season_prediction", O.with_players("customer", C, "SELECT name, year, prediction, label FROM predicted",
+                                                   more=_ML_CTE + _search_sql(LAST, ("zw1",))), ["prediction", "label"])
 def q_next_season_prediction(spark, sf_dir):
-    return _predictions(spark, sf_dir, LAST, ("zw1",))["zw1"]
+    return search.one_prediction(_predictions(spark, sf_dir, LAST, ("zw1",)), "zw1")
 
 
-@register("combined_prediction")
+@register("combined_prediction", O.with_players("customer", C, "SELECT * FROM summed",
+                                                more=_ML_CTE + _search_sql(LAST)), ["prediction", "label"])
 def q_combined_prediction(spark, sf_dir):
-    return predict.combine_predictions(_predictions(spark, sf_dir, LAST))
+    return search.summed(_predictions(spark, sf_dir, LAST), predict.MEASURES)
 
 
-@register("predicted_rank")
+@register("predicted_rank", O.with_players("customer", C, """
+SELECT * FROM summed ORDER BY prediction DESC NULLS LAST, name LIMIT 100""",
+                                           more=_ML_CTE + _search_sql(LAST)), ["prediction", "label"])
 def q_predicted_rank(spark, sf_dir):
-    return predict.predicted_rank(predict.combine_predictions(_predictions(spark, sf_dir, LAST)), 100)
+    return predict.predicted_rank(search.summed(_predictions(spark, sf_dir, LAST), predict.MEASURES), 100)
 
 
-@register("prediction_rmse")
+@register("prediction_rmse", O.with_players("customer", C, """
+SELECT count(*) AS n, sqrt(avg((prediction - label) * (prediction - label))) AS rmse
+FROM predicted WHERE prediction IS NOT NULL AND label IS NOT NULL""",
+                                            more=_ML_CTE + _search_sql(LAST - 1, ("zw1",))), ["rmse"])
 def q_prediction_rmse(spark, sf_dir):
     """Held-out score: train on the season before the last, test on the last."""
-    preds = _predictions(spark, sf_dir, LAST - 1, ("zw1",))
-    return predict.prediction_rmse(preds["zw1"])
+    return predict.prediction_rmse(search.one_prediction(_predictions(spark, sf_dir, LAST - 1, ("zw1",)), "zw1"))
+
+
+@register("model_search", O.with_players("customer", C, """
+SELECT stat, reg, icpt AS intercept, net, rmse FROM errors""",
+                                         more=_ML_CTE + _search_sql(LAST)), ["reg", "net", "rmse"])
+def q_model_search(spark, sf_dir):
+    """The validation error of every candidate of the grid."""
+    moments = search.season_moments(search.training_rows(_ml(spark, sf_dir), predict.MEASURES, LAST))
+    tried = [m for stat, folds in moments.items() for m in search.candidates(stat, folds)]
+    return spark.createDataFrame([(m.stat, m.reg, m.intercept, m.net, m.rmse) for m in tried],
+                                 "stat string, reg double, intercept boolean, net double, rmse double")
 
 
 # dedupe is re-exported for callers that build their own records
