@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import blank_to_zero as _blank_to_zero
 from ..functions.columns import clean_name
@@ -63,7 +64,8 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 def dedupe_prefer_total(df: DataFrame, spec: SeasonSpec) -> DataFrame:
     """One row per (entity, period): the season-total club row if present,
-    otherwise the row with most games, then smallest club, then lowest rank.
+    otherwise the row with most games, then smallest club, then lowest rank,
+    then the least in the other columns.
 
     ``row_number() = 1`` over (entity, period) in that total order (no
     dependence on shuffle arrival order). Spark plans it with a partial
@@ -77,6 +79,50 @@ def dedupe_prefer_total(df: DataFrame, spec: SeasonSpec) -> DataFrame:
     ]
     if spec.rank and spec.rank in df.columns:
         order.append(F.col(spec.rank).asc_nulls_last())
+    # a unique last key: rows equal so far differ in some column, or not at all
+    order += [F.col(f"`{f.name}`").asc_nulls_last() for f in df.schema.fields
+              if f.name not in (spec.entity, spec.period, spec.games, spec.club, spec.rank)
+              and not isinstance(f.dataType, (T.MapType, T.VariantType))]
     w = Window.partitionBy(spec.entity, spec.period).orderBy(*order)
     return (df.withColumn("_pick", F.row_number().over(w))
             .filter(F.col("_pick") == 1).drop("_pick"))
+
+
+NAMESAKE = "namesake"
+
+
+def split_namesakes(df: DataFrame, spec: SeasonSpec, gap: int = 1) -> DataFrame:
+    """Tell entities of one name apart by the birth year that their age implies.
+
+    Birth years of a name that lie more than ``gap`` apart (ages are taken on
+    different days of a season) belong to different people. Adds ``namesake``:
+    0 for the earliest born, 1 for the next, ...; rows without age or period
+    are 0. Apply it before ``dedupe_prefer_total``, which otherwise keeps one row
+    of two people; ``with_namesake_names`` makes them two entities.
+
+    Sessions are cut on the distinct (name, birth year) pairs, at most a
+    lifetime's worth per name, and joined back, so that a name held by a third
+    of all rows never gathers them in one window.
+    """
+    born = F.col(spec.period).cast("long") - F.col(spec.age).cast("long")
+    pairs = df.select(F.col(spec.entity).alias("_name"), born.alias("_born")).where("_born IS NOT NULL").distinct()
+    by = Window.partitionBy("_name").orderBy("_born")
+    new = (F.col("_born") - F.lag("_born").over(by) > gap).cast("int")
+    sessions = pairs.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(
+        "_session", F.sum("_new").over(by).cast("int")).select("_name", "_born", "_session")
+    joined = df.withColumn("_own", born).join(
+        sessions, F.col(f"`{spec.entity}`").eqNullSafe(F.col("_name")) & (F.col("_own") == F.col("_born")), "left")
+    return joined.withColumn(NAMESAKE, F.coalesce("_session", F.lit(0))).drop("_own", "_name", "_born", "_session")
+
+
+def with_namesake_names(df: DataFrame, spec: SeasonSpec) -> DataFrame:
+    """Entities renamed "<name> (2)", "<name> (3)", ... for later namesakes; the
+    entity column must be text."""
+    later = F.concat(F.col(f"`{spec.entity}`"), F.lit(" ("), (F.col(NAMESAKE) + 1).cast("string"), F.lit(")"))
+    return df.withColumn(spec.entity, F.when(F.col(NAMESAKE) > 0, later).otherwise(F.col(f"`{spec.entity}`")))
+
+
+def namesake_report(df: DataFrame, spec: SeasonSpec) -> DataFrame:
+    """(name, people, rows): the names held by several people."""
+    return (df.groupBy(F.col(spec.entity).alias("name")).agg(
+        (F.max(NAMESAKE) + 1).cast("bigint").alias("people"), F.count(F.lit(1)).alias("rows")).where("people > 1"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # The result tables of the reference's database.
 OUTPUT_TABLES = ("players", "age", "experience", "similar", "ml", "regression_total")
@@ -31,6 +35,47 @@ def write_table(df: DataFrame, name: str, mode: str = "overwrite",
     w.saveAsTable(name)
 
 
+OLD = "__old"
+
+
+def recover(spark: SparkSession, name: str) -> None:
+    """Finish a swap that died between its two renames."""
+    if spark.catalog.tableExists(name + OLD):
+        if spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {name}{OLD}")
+        else:
+            spark.sql(f"ALTER TABLE {name}{OLD} RENAME TO {name}")
+
+
+def save_and_swap(df: DataFrame, name: str, verify: Callable[[DataFrame], bool] | None = None, **options) -> int:
+    """Save ``df`` as the managed table ``name`` (db.table) without readers ever
+    seeing half of it; returns the rows written.
+
+    The rows go to a side table, which must hold as many rows as were written and
+    satisfy ``verify``; only then it takes the name, by two renames. If the write
+    or a check fails, the table that was there stays and the side table goes.
+    ``options`` are those of :func:`write_table`.
+    """
+    spark = df.sparkSession
+    recover(spark, name)
+    side, written = f"{name}__{uuid.uuid4().hex[:8]}", Observation(f"rows of {name}")
+    try:
+        write_table(df.observe(written, F.count(F.lit(1)).alias("rows")), side, **options)
+        saved, rows = spark.table(side), written.get["rows"]
+        if saved.count() != rows:
+            raise RuntimeError(f"{name}: {rows} rows were written, {saved.count()} can be read back")
+        if verify is not None and not verify(saved):
+            raise ValueError(f"{name}: the rows to save do not pass their check")
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {side}")
+        raise
+    if spark.catalog.tableExists(name):
+        spark.sql(f"ALTER TABLE {name} RENAME TO {name}{OLD}")
+    spark.sql(f"ALTER TABLE {side} RENAME TO {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {name}{OLD}")
+    return rows
+
+
 def drop_outputs(spark: SparkSession, db: str, tables=OUTPUT_TABLES) -> None:
     for t in tables:
         spark.sql(f"DROP TABLE IF EXISTS `{db}`.`{t}`")
