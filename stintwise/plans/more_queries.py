@@ -5,13 +5,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import clean, nearest, predict, search, similar
+from ..operators import clean, moments, nearest, predict, search, similar
 from ..operators.clean import dedupe_prefer_total
-from ..session import scratch_path
 from ..sources import csv as csvsrc
 from ..sources.tables import load, season_records
-from ..spec import CSV_FIELDS, CUSTOMER, SUPPLIER
+from ..sources import catalog, seasons
+from ..spec import BASKETBALL, CSV_FIELDS, CSV_RAW, CUSTOMER, SUPPLIER
 from . import oracle as O
+from .scope import scratch
 from .sizing import cut_lineage
 from . import season_tables as st
 from .queries import LAST, _ml_sql, _roster_sql, register
@@ -98,7 +99,7 @@ _CSV_MAP = {
 }
 
 
-def customer_season_lines(spark, sf_dir):
+def customer_season_lines(spark, sf_dir, mapping=_CSV_MAP):
     recs = season_records(spark, sf_dir, "customer")
     n = F.col("name")
     fields = {}
@@ -112,8 +113,8 @@ def customer_season_lines(spark, sf_dir):
                                  .otherwise(F.lit("")))
         elif f == "Pos":
             fields[f] = F.lit("G")
-        elif _CSV_MAP.get(f):
-            fields[f] = F.col(_CSV_MAP[f]).cast("string")
+        elif mapping.get(f):
+            fields[f] = F.col(mapping[f]).cast("string")
         else:
             fields[f] = F.lit("")
     lines = recs.select("year", *[c.alias(f) for f, c in fields.items()])
@@ -129,7 +130,7 @@ SELECT CAST(name AS BIGINT) AS Rk, 'C' || CAST(name AS VARCHAR) AS name, year, a
   CAST(0 AS BIGINT) AS rejects
 FROM records"""), ["FG", "FGA", "FGP", "TOV", "PTS"])
 def q_read_season_csv(spark, sf_dir):
-    path = scratch_path(spark, "season-csv")
+    path = scratch(spark, "season-csv")
     csvsrc.write_season_csv(customer_season_lines(spark, sf_dir), path)
     raw = csvsrc.read_season_csv(spark, path)   # the folder; partition folders carry the year
     p = csvsrc.parse_seasons(raw)
@@ -139,6 +140,147 @@ def q_read_season_csv(spark, sf_dir):
         F.col("gs").cast("bigint").alias("gs"), "FG", "FGA", "FGP", "TOV", "PTS", "rejects")
 
 
+# A record column for every scored field; the other measures are left blank (0).
+_SCORED_MAP = {
+    "Age": "age", "Tm": "team", "G": "gp", "MP": "att1", "FG": "m1", "FGA": "att1", "FG%": "pct1", "FTA": "att2",
+    "FT%": "pct2", "3P": "m2", "TRB": "m3", "AST": "m4", "STL": "m5", "BLK": "m6", "TOV": "neg1", "PTS": "m1",
+}
+_RAW_OF = dict(zip(CSV_RAW, CSV_FIELDS[8:]))        # players column -> CSV field
+_PLAYER_DOUBLES = [*CSV_RAW, *BASKETBALL.z_cols, "zTOT", *BASKETBALL.n_cols, "nTOT"]
+_PLAYERS_51 = ["exp", "name", "year", "age", "position", "team", "gp", "gs", "mp", *_PLAYER_DOUBLES]
+_CSV_RECORDS = """,
+csv_records AS (
+  SELECT 'C' || CAST(name AS VARCHAR) AS name, year, age, team, gp, 'G' AS position, CAST(0 AS BIGINT) AS gs,
+    CAST(att1 AS DOUBLE) AS mp, """ + ", ".join(
+        f'CAST({_SCORED_MAP.get(_RAW_OF[c], "0")} AS DOUBLE) AS "{c}"' for c in CSV_RAW) + """
+  FROM records)"""
+
+
+def _csv_players(spark, sf_dir):
+    """Customer seasons through season files: written, read, cleaned, scored."""
+    path = scratch(spark, "season-csv")
+    csvsrc.write_season_csv(customer_season_lines(spark, sf_dir, _SCORED_MAP), path)
+    p = st.players_from_csv(spark, path)
+    return p.select(*[F.col(c).cast("bigint").alias(c) if c in ("exp", "year", "age", "gp", "gs") else F.col(f"`{c}`")
+                      for c in _PLAYERS_51])
+
+
+_PLAYERS_51_SQL = "SELECT " + ", ".join(f'"{c}"' for c in _PLAYERS_51) + " FROM players"
+_FROM_CSV = _CSV_RECORDS + O.score_ctes(BASKETBALL, "csv_records", "position, gs, mp, ")
+
+
+@register("players_from_csv", O.with_records("customer", _PLAYERS_51_SQL, more=_FROM_CSV), ["mp", *_PLAYER_DOUBLES])
+def q_players_from_csv(spark, sf_dir):
+    return _csv_players(spark, sf_dir)
+
+
+SAVED = "stintwise_saved"
+
+
+@register("saved_players", O.with_records("customer", _PLAYERS_51_SQL, more=_FROM_CSV), ["mp", *_PLAYER_DOUBLES])
+def q_saved_players(spark, sf_dir):
+    """The same table saved beside its last version, checked, swapped in, and
+    read through the catalog."""
+    # a database per application: an in-memory catalog does not know the folders of earlier ones
+    db = f"{SAVED}_{spark.sparkContext.applicationId}".replace("-", "_")
+    catalog.create_database(spark, db)
+    one_row_each = lambda t: t.groupBy("name", "year").count().where("count > 1").isEmpty()
+    catalog.save_and_swap(_csv_players(spark, sf_dir), f"{db}.players", verify=one_row_each, partition_by=["year"])
+    return spark.table(f"{db}.players").select(*[f"`{c}`" for c in _PLAYERS_51])
+
+
+# Dirt of the reject query, by the record's key.
+_EXTRA, _NAMELESS, _STRAY = "name % 70 = 1", "name % 50 = 0", "name % 90 = 2"
+
+
+@register("rejects", O.with_records("customer", f"""
+SELECT reason, CAST(count(*) AS BIGINT) AS lines FROM (
+  SELECT CASE WHEN {_EXTRA} THEN 'malformed line' WHEN {_STRAY} THEN 'no season in path'
+              WHEN {_NAMELESS} THEN 'blank name' ELSE 'kept' END AS reason FROM records
+  UNION ALL SELECT 'repeated header' FROM (SELECT DISTINCT year FROM records)
+  UNION ALL SELECT 'blank line' FROM (SELECT DISTINCT year FROM records)
+  UNION ALL SELECT 'lines' FROM records
+  UNION ALL SELECT 'lines' FROM (SELECT DISTINCT year FROM records), (VALUES (1), (2)) AS t(i))
+GROUP BY reason"""))
+def q_rejects(spark, sf_dir):
+    """Where every line of dirty season files goes: kept, or rejected and why."""
+    lines = customer_season_lines(spark, sf_dir, _SCORED_MAP)
+    key = F.col("Rk").try_cast("bigint")
+    fields = [F.when((key % 50 == 0) & (F.lit(f) == "Player"), F.lit("")).otherwise(F.coalesce(f"`{f}`", F.lit("")))
+              for f in CSV_FIELDS]
+    text = F.concat(F.concat_ws(",", *fields), F.when(key % 70 == 1, F.lit(",31")).otherwise(F.lit("")))
+    folder = F.when(key % 90 == 2, F.lit("notes")).otherwise(F.concat(F.lit("leagues_"), F.col("year"), F.lit("_")))
+    path = scratch(spark, "dirty-csv")
+    lines.select(text.alias("value"), folder.alias("season")).write.partitionBy("season").text(path)
+    read = csvsrc.read_season_lines(spark, path)
+    where = F.array(F.coalesce("reason", F.lit("kept")), F.lit("lines"))
+    return read.select(F.explode(where).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@register("staged_seasons", O.with_records("customer", f"""
+SELECT year, CAST(count(*) AS BIGINT) AS lines, CAST(sum(gp) AS BIGINT) AS games, min(name) AS first_name
+FROM records WHERE year <> {LAST} OR name % 2 = 0 GROUP BY year"""))
+def q_staged_seasons(spark, sf_dir):
+    """Season files staged by year; the last season's files are then replaced by
+    others, and staging runs again."""
+    source, target = scratch(spark, "season-csv"), scratch(spark, "staged")
+    lines = customer_season_lines(spark, sf_dir)
+    csvsrc.write_season_csv(lines, source)
+    seasons.stage_changed(spark, source, target)
+    csvsrc.write_season_csv(lines.where((F.col("year") == LAST) & (F.col("Rk").try_cast("bigint") % 2 == 0)), source, only=True)
+    seasons.stage_changed(spark, source, target)
+    staged = csvsrc.read_staged(spark, target)
+    return staged.groupBy(F.col("year").cast("bigint").alias("year")).agg(
+        F.count(F.lit(1)).alias("lines"), F.sum("gp").cast("bigint").alias("games"),
+        F.min(F.col("Rk").cast("bigint")).alias("first_name"))
+
+
+# --- kept summaries and namesakes ------------------------------------------
+
+_DIRTY = "CASE WHEN name % 7 = 0 THEN NULL WHEN name % 11 = 0 THEN CAST('NaN' AS DOUBLE) ELSE {0} END"
+_KEPT = ("att1", "m2", "m6")
+
+
+def _moments_sql(key: str, group: str) -> str:
+    return " UNION ALL ".join(f"""
+SELECT {key} AS year, '{m}' AS stat, CAST(count(v) AS DOUBLE) AS count, avg(v) AS avg, stddev_pop(v) AS stdev,
+  max(v) AS max, min(v) AS min, CAST(count_if(v IS NULL) AS DOUBLE) AS missing
+FROM (SELECT year, CASE WHEN name % 7 = 0 OR name % 11 = 0 THEN NULL ELSE {m} END AS v FROM dedup) AS t {group}""" for m in _KEPT)
+
+
+@register("season_moments", O.with_players("customer", C, _moments_sql("year", "GROUP BY year") + " UNION ALL "
+                                           + _moments_sql("CAST(NULL AS BIGINT)", "")),
+          ["count", "avg", "stdev", "max", "min", "missing"])
+def q_season_moments(spark, sf_dir):
+    """Kept season summaries: all seasons but the last loaded first, the last one
+    added by reading it alone; merged per season and over all time."""
+    table, path = scratch(spark, "seasons"), scratch(spark, "moments")
+    rows = clean.dedupe_prefer_total(season_records(spark, sf_dir, "customer"), C)
+    (rows.select("year", *[F.expr(_DIRTY.format(m)).alias(m) for m in _KEPT])
+     .write.partitionBy("year").parquet(table))
+    kept = spark.read.parquet(table)
+    moments.add_load(moments.partial_state(kept.where(F.col("year") != LAST), ["year"], list(_KEPT)), path, "first")
+    moments.add_load(moments.partial_state(kept.where(F.col("year") == LAST), ["year"], list(_KEPT)), path, str(LAST))
+    states = moments.read_loads(spark, path)
+    per_season = moments.finished(moments.merged(states, ["year"]), ["year"])
+    all_time = moments.finished(moments.merged(states, []), [])
+    return per_season.withColumn("year", F.col("year").cast("bigint")).unionByName(
+        all_time.withColumn("year", F.lit(None).cast("bigint")))
+
+
+@register("namesakes", O.with_records("customer", """
+SELECT name, year, age, team, gp, namesake FROM (
+  SELECT t.*, s.namesake FROM t JOIN (
+    SELECT name, born, CAST(sum(new) OVER (PARTITION BY name ORDER BY born) AS INTEGER) AS namesake FROM (
+      SELECT name, born, CASE WHEN born - lag(born) OVER (PARTITION BY name ORDER BY born) > 1 THEN 1 ELSE 0 END AS new
+      FROM (SELECT DISTINCT name, born FROM t))) AS s ON s.name = t.name AND s.born = t.born)""", more=""",
+t AS (SELECT name % 300 AS name, year, age, team, gp, year - age AS born FROM records)"""))
+def q_namesakes(spark, sf_dir):
+    """Season records in which many people share a name, told apart by age."""
+    rows = season_records(spark, sf_dir, "customer").withColumn("name", F.col("name") % 300)
+    return clean.split_namesakes(rows.select("name", "year", "age", "team", "gp"), C)
+
+
 # --- compared careers (supplier seasons: dense careers) --------------------
 
 _S_Z = S.z_cols

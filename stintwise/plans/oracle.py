@@ -89,6 +89,12 @@ def _raw_inputs(spec: SeasonSpec) -> list[str]:
 
 def players_ctes(kind: str, spec: SeasonSpec) -> str:
     """CTEs ending in ``dedup`` (one row per entity, period) and ``players``."""
+    return records_ctes(kind) + score_ctes(spec)
+
+
+def score_ctes(spec: SeasonSpec, source: str = "records", carry: str = "") -> str:
+    """CTEs ``dedup`` to ``players`` over the records in ``source``; ``carry``
+    names further columns to keep."""
     raw = _raw_inputs(spec)
     idx = {c: i for i, c in enumerate(raw)}
     s1 = ", ".join(f"avg({_q(c)}) AS a1_{i}, stddev_pop({_q(c)}) AS s1_{i}" for i, c in enumerate(raw))
@@ -119,12 +125,12 @@ def players_ctes(kind: str, spec: SeasonSpec) -> str:
     nsel = ",\n    ".join(f"{e} AS {_q(n)}" for n, e in ns)
     ztot = " + ".join(e for _, e in zs)
     ntot = " + ".join(e for _, e in ns)
-    return records_ctes(kind) + f""",
+    return f""",
 dedup AS (
   SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (
       PARTITION BY name, year ORDER BY (team <> 'TOT'), gp DESC, team) AS rn
-    FROM records) WHERE rn = 1),
+    FROM {source}) WHERE rn = 1),
 w_s1 AS (SELECT year, {s1} FROM dedup GROUP BY year),
 w_stage AS (
   SELECT d.*, {", ".join(vs)}
@@ -138,7 +144,7 @@ scored AS (
   FROM w_stage JOIN w_s2 USING (year)),
 players AS (
   SELECT CAST(age - min(age) OVER (PARTITION BY name) AS BIGINT) AS exp,
-    name, year, team, age, gp, {", ".join(_q(c) for c in spec.raw)},
+    name, year, team, age, gp, {carry}{", ".join(_q(c) for c in spec.raw)},
     {", ".join(_q(spec.z(m)) for m in spec.measures)}, {_q(spec.z_total)},
     {", ".join(_q(spec.n(m)) for m in spec.measures)}, {_q(spec.n_total)}
   FROM scored)"""

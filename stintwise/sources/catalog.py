@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,7 +45,23 @@ def recover(spark: SparkSession, name: str) -> None:
         if spark.catalog.tableExists(name):
             spark.sql(f"DROP TABLE {name}{OLD}")
         else:
-            spark.sql(f"ALTER TABLE {name}{OLD} RENAME TO {name}")
+            _rename(spark, name + OLD, name)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a managed table. Spark's in-memory catalog moves a table's folder
+    but not the locations of its partitions, so they are set here."""
+    spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+    if spark.conf.get("spark.sql.catalogImplementation") != "in-memory":
+        return
+    detail = spark.sql(f"DESCRIBE TABLE EXTENDED {new}")
+    if detail.where("col_name = '# Partition Information'").isEmpty():
+        return
+    root = detail.where("col_name = 'Location'").first()["data_type"]
+    for r in spark.sql(f"SHOW PARTITIONS {new}").collect():          # one row a season
+        values = [p.split("=", 1) for p in r["partition"].split("/")]
+        spec = ", ".join(f"`{k}` = '{unquote(v)}'" for k, v in values)
+        spark.sql(f"ALTER TABLE {new} PARTITION ({spec}) SET LOCATION '{root}/{r['partition']}'")
 
 
 def save_and_swap(df: DataFrame, name: str, verify: Callable[[DataFrame], bool] | None = None, **options) -> int:
@@ -70,8 +87,8 @@ def save_and_swap(df: DataFrame, name: str, verify: Callable[[DataFrame], bool]
         spark.sql(f"DROP TABLE IF EXISTS {side}")
         raise
     if spark.catalog.tableExists(name):
-        spark.sql(f"ALTER TABLE {name} RENAME TO {name}{OLD}")
-    spark.sql(f"ALTER TABLE {side} RENAME TO {name}")
+        _rename(spark, name, name + OLD)
+    _rename(spark, side, name)
     spark.sql(f"DROP TABLE IF EXISTS {name}{OLD}")
     return rows
 

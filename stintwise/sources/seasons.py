@@ -9,7 +9,6 @@ its own partition; the others' files are not touched.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +43,10 @@ def read_seasons(spark: SparkSession, path: str, first: int | None = None, last:
 
 def read_manifest(spark: SparkSession, target: str) -> DataFrame:
     """What is staged under ``target``; empty before the first run."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{target}.manifest")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
+    fs, path = _folder(spark, f"{target}.manifest")
+    if not fs.exists(path):
         return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{target}.manifest")
 
 
 def changed_seasons(listing: DataFrame, manifest: DataFrame) -> list[int]:
@@ -79,11 +76,17 @@ def stage_changed(spark: SparkSession, source: str, target: str) -> list[int]:
     here = {r["year"] for r in listing.select("year").distinct().collect()}
     for year in set(years) - here:                              # its files are gone
         for folder in (target, f"{target}.manifest"):
-            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/year={year}")
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = _folder(spark, f"{folder}/year={year}")
+            fs.delete(path, True)
     _write_seasons(listing.where(F.col("year").isin(years)), f"{target}.manifest")
     return years
 
 
+def _folder(spark: SparkSession, name: str):
+    """(file system, path) of a folder in any store Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def _write_seasons(df: DataFrame, path: str) -> None:
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path))

@@ -97,6 +97,10 @@ def test_a_failed_save_leaves_the_old_table(spark):
     catalog.recover(spark, name)
     assert spark.table(name).count() == 5
     assert catalog.save_and_swap(spark.range(2), name) == 2
+    for n in (6, 9):                                                # partitions move with the table
+        parts = spark.range(n).withColumn("year", F.concat(F.lit("a b/"), F.col("id") % 3))
+        assert catalog.save_and_swap(parts, name, partition_by=["year"]) == n and spark.table(name).count() == n
+        assert spark.table(name).where("year = 'a b/1'").count() == n // 3
     catalog.drop_outputs(spark, "swap_test")
 
 
