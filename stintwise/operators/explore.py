@@ -9,6 +9,10 @@ entity (and period) so ties are broken the same way on any partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,3 +96,34 @@ def to_pandas_bounded(df: DataFrame, max_rows: int = 100_000):
     if len(pdf) > max_rows:
         raise ValueError(f"result has more than {max_rows} rows; aggregate or limit it first")
     return pdf
+
+
+def local_batches(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The rows of ``df`` as Arrow batches on the driver, whatever their number:
+    fetched partition by partition and packed by the tasks, so the driver holds
+    one partition's packed batches at a time and unpacks one."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, batch.schema) as stream:
+                stream.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["packed"])
+
+    for row in df.mapInArrow(pack, "packed binary").toLocalIterator():
+        yield from pa.ipc.open_stream(row["packed"])
+
+
+def save_local(df: DataFrame, path: str) -> int:
+    """Write all rows of ``df`` as one Parquet file on the driver, a row group
+    per batch; returns their number."""
+    rows, writer = 0, None
+    for batch in local_batches(df):
+        if writer is None:
+            writer = pq.ParquetWriter(path, batch.schema)
+        writer.write_batch(batch)
+        rows += batch.num_rows
+    if writer is None:
+        pq.write_table(df.limit(0).toArrow(), path)
+    else:
+        writer.close()
+    return rows

@@ -80,7 +80,8 @@ def ml_table(players_df: DataFrame, spec: SeasonSpec, last=LAST_SEASON) -> DataF
 def write_tables(players_df: DataFrame, spec: SeasonSpec, db: str, last,
                  similar_targets=None) -> list[str]:
     """Save a players DataFrame and the tables derived from it (age,
-    experience, ml, and ``similar`` for ``similar_targets``) in ``db``.
+    experience, ml, and ``similar`` for ``similar_targets``) in ``db``; without
+    targets there is no ``similar``, as the returned names say.
     Works for any source: test tables, or season CSV files via
     ``players_from_csv``."""
     from ..operators.similar import career_similarity

@@ -59,3 +59,18 @@ def test_stray_file_name_has_no_year(spark, tmp_path):
     got = {r["Player"]: r["year"] for r in read_season_csv(spark, str(tmp_path)).select("Player", "year").collect()}
     assert got == {"Al": 2001, "Bo": None}
     assert read_season_csv(spark, str(tmp_path)).where(F.col("year").isNull()).count() == 1
+
+
+def test_local_copy_has_no_cap(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from stintwise.operators.explore import local_batches, save_local
+
+    df = spark.range(250_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN NULL ELSE concat('n', id) END AS name")
+    sizes = [b.num_rows for b in local_batches(df)]
+    assert sum(sizes) == 250_000 and len(sizes) > 8
+    path = str(tmp_path / "all.parquet")
+    assert save_local(df, path) == 250_000
+    got = pq.read_table(path)
+    assert got.num_rows == 250_000 and got["name"].null_count == 83_334
+    assert save_local(df.limit(0), path) == 0 and pq.read_table(path).column_names == ["id", "name"]
