@@ -4,7 +4,8 @@ A turn holds an ordered array of typed parts. A visitor over the parts makes,
 for each one, the string that goes into the turn, the attachment it refers to
 and the number of tokens that the part expands to:
 
-* ``text``: the escaped text; no attachment.
+* ``text``: the text; no attachment. Neighbouring texts are escaped as one, so
+  that no control string forms where they meet.
 * ``image`` / ``audio`` / ``document``: one placeholder each, an attachment
   reference, and an expanded token count from its size (``COSTS``).
 
@@ -62,19 +63,31 @@ def _visit(part: Column) -> Column:
     kind = part["type"]
     patches = (F.greatest(F.ceil(F.coalesce(part["width"], F.lit(1)) / COSTS["patch"]), F.lit(1))
                * F.greatest(F.ceil(F.coalesce(part["height"], F.lit(1)) / COSTS["patch"]), F.lit(1)))
-    out = F.when(kind == "text", escape(part["text"]))
+    out = F.when(kind == "text", part["text"])
     tokens = F.when(kind == "image", patches)
     tokens = tokens.when(kind == "audio", F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * COSTS["audio_rate"]))
     tokens = tokens.when(kind == "document", F.coalesce(part["pages"], F.lit(0)) * COSTS["page"])
     for name, mark in PLACEHOLDER.items():
         out = out.when(kind == name, F.lit(mark))
     return F.named_struct(
-        F.lit("out"), F.coalesce(out, F.lit("")),
+        F.lit("out"), F.coalesce(out, F.lit("")), F.lit("mark"), F.coalesce(kind.isin(*PLACEHOLDER), F.lit(False)),
         F.lit("kind"), kind,
         F.lit("ref"), F.when(kind.isin(*PLACEHOLDER), part["ref"]),
         F.lit("tokens"), F.coalesce(tokens, F.lit(0)).cast("long"))
 
 
+def _content(seen: Column) -> Column:
+    """The parts joined: runs of texts are joined first and escaped then,
+    placeholders stand between them as they are."""
+    def add(acc: Column, s: Column) -> Column:
+        return F.named_struct(
+            F.lit("done"), F.when(s["mark"], F.concat(acc["done"], escape(acc["open"]), s["out"])).otherwise(acc["done"]),
+            F.lit("open"), F.when(s["mark"], F.lit("")).otherwise(F.concat(acc["open"], s["out"])))
+
+    start = F.named_struct(F.lit("done"), F.lit(""), F.lit("open"), F.lit(""))
+    return F.aggregate(seen, start, add, lambda acc: F.concat(acc["done"], escape(acc["open"])))
+
+
 def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
                 parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: ``formatted``, ``loss_spans`` (start and
@@ -84,7 +97,7 @@ def format_chat(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"),
                         seen.alias("seen"))
     rows = rows.select(
-        "conv", "turn", "role", F.array_join("seen.out", "").alias("content"),
+        "conv", "turn", "role", _content(F.col("seen")).alias("content"),
         F.transform(F.filter("seen", lambda s: s["kind"].isin(*PLACEHOLDER)),
                     lambda s: F.named_struct(F.lit("kind"), s["kind"], F.lit("ref"), s["ref"],
                                              F.lit("tokens"), s["tokens"])).alias("attached"))

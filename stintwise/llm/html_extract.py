@@ -10,12 +10,14 @@ between are the main text. On pages that mark their article (``article`` or
 ``main``), lines outside it count zero and the threshold is zero, so the kept
 lines are the whole marked article, however short its paragraphs; a mark that
 holds less text than the lines outside it (a teaser card, say) does not count.
+Without a mark, lines that lead from a heading to the surge belong to it, and a
+page whose paragraphs are links alone gives those.
 
-A class, id or role drops a block only when all words of one of its names are
-noise (``cookie-notice``, not ``has-sidebar``), headings and paragraphs of an
-article only as adverts, never a block that holds the page's only marked
-article, and no block of an article or of a page without one, adverts apart,
-that holds more than half of the page's text.
+A class, id or role drops a block, whatever its size, only when all words of one
+of its names are noise (``cookie-notice``, not ``has-sidebar``), headings and
+paragraphs of an article only as adverts, and never a block that holds the
+page's only marked article. Of a ``header`` inside a marked article its headings
+stay. Text of ``math`` is text; fallbacks of ``object`` and ``iframe`` are not.
 
 Defined results: null, empty or text-free html gives an empty text; unclosed
 elements end with the one that holds them; a truncated tag is dropped and a
@@ -42,10 +44,11 @@ _TAG = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*(?:>|\Z)""
                   r"""|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
-_PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_PARAGRAPHS = {"p"} | _HEADINGS
 _ADVERTS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo"}
 
-_RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "svg", "math", "object", "title", "select"}
+_RAW = {"script", "style", "textarea", "noscript", "iframe", "template", "svg", "object", "title", "select"}
 _DROP = {"nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "head", "label", "fieldset"}
 _BLOCK = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "tr", "thead",
           "tbody", "tfoot", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr",
@@ -85,31 +88,33 @@ def _noisy(attrs: str, noise: set[str] = _NOISE) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, length without link text, in a marked article) of every line."""
-    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, str]]:
+    """(text, length without link text, in a marked article, heading or
+    paragraph that it is) of every line."""
+    out: list[tuple[str, int, bool, str, tuple[int, ...]]] = []
     line: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []
     noisy: list[int] = []           # open blocks that class, id or role call noise
     holds: list[bool] = []          # of each such block: a marked article
-    weighs: list[bool | None] = []  # its size counts: always in an article, never for adverts, else (None) without an article
     free = False                    # a marked article outside them
     opened: dict[str, int] = {}
-    dropped = anchors = marked = 0
+    dropped = anchors = marked = headers = 0
+    kind = ""                       # the heading or paragraph that is open
 
     def flush() -> None:
         nonlocal linked
         if line:
             text = " ".join("".join(line).split())
-            if text:
-                out.append((text, max(0, len(text) - linked), marked > 0, tuple(noisy)))
+            if text and (not headers or kind in _HEADINGS):
+                out.append((text, max(0, len(text) - linked), marked > 0, kind, tuple(noisy)))
             line.clear()
         linked = 0
 
     def pop() -> None:
-        nonlocal dropped, marked
+        nonlocal dropped, marked, headers
         name, drop, soft = stack.pop()
+        headers -= name == "header" and not drop
         opened[name] -= 1
         dropped -= drop
         if soft:
@@ -134,6 +139,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if m["end"] or m["end2"]:
             if name in _BLOCK:
                 flush()
+                kind = ""
             elif name in _SPACED:
                 line.append(" ")
             if name == "a":
@@ -155,6 +161,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 pop()
         if name in _BLOCK:
             flush()
+            kind = name if name in _PARAGRAPHS else ""
             while stack and stack[-1][0] in ("p", "li") and name != "span":
                 pop()          # an unclosed dropped paragraph or item ends here
         elif name in _SPACED:
@@ -163,7 +170,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             anchors += 1
         if name in _VOID:
             continue
-        drop, soft = name in _DROP, False
+        drop, soft = name in _DROP and not (name == "header" and marked), False
         if not drop and attrs and name not in ("body", "html", "article", "main"):
             noise = _noisy(attrs, _ADVERTS if marked and name in _PARAGRAPHS else _NOISE)
             drop = _hidden(attrs) or noise and name not in _BLOCK
@@ -172,10 +179,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             stack.append((name, drop, soft))
             opened[name] = opened.get(name, 0) + 1
             dropped += drop
+            headers += name == "header" and not drop
             if soft:
                 noisy.append(len(holds))
                 holds.append(False)
-                weighs.append(False if _noisy(attrs, _ADVERTS) else True if marked else None)
             if name in ("article", "main"):
                 if not marked and not dropped:
                     free = free or not noisy
@@ -183,20 +190,16 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                         holds[i] = True
                 marked += 1
     flush()
-    sizes = [0] * len(holds)
-    for text, _, _, within in out:
-        for i in within:
-            sizes[i] += len(text)
-    total = sum(len(t[0]) for t in out)
-    kept = [h and not free or (not free if w is None else w) and 2 * n > total for h, w, n in zip(holds, weighs, sizes)]
-    return [t[:3] for t in out if all(kept[i] for i in t[3])]
+    return [t[:4] for t in out if all(holds[i] and not free for i in t[4])]
 
 
-def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
+def main_lines(lines: list[tuple[str, int, bool, str]]) -> list[str]:
     """The lines between surge and dive points of the line-block distribution."""
-    inner = sum(len(t) for t, _, m in lines if m)
-    marked = inner > 0 and inner >= sum(n for _, n, m in lines if not m)
-    lengths = [(len(t) if m else 0) if marked else n for t, n, m in lines]
+    inner = sum(len(t) for t, _, m, _ in lines if m)
+    marked = inner > 0 and inner >= sum(n for _, n, m, _ in lines if not m)
+    lengths = [(len(t) if m else 0) if marked else n for t, n, m, _ in lines]
+    if not marked and not any(lengths):
+        lengths = [len(t) if k else 0 for t, _, _, k in lines]
     n = len(lengths)
     sums = [sum(lengths[i:i + WINDOW]) for i in range(n)]
     surge_at = 0 if marked else min(SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
@@ -204,6 +207,7 @@ def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
     for i in range(n):
         if not inside and sums[i] > surge_at and lengths[i] > 0:
             inside = True
+            kept += [] if marked else _led_in(lines, lengths, i)
         elif inside and sums[i] == 0:
             inside = False
         if inside and (lengths[i] > 0 or not marked):
@@ -211,6 +215,17 @@ def main_lines(lines: list[tuple[str, int, bool]]) -> list[str]:
     return kept
 
 
+def _led_in(lines: list[tuple[str, int, bool, str]], lengths: list[int], surge: int) -> list[str]:
+    """Lines from the first heading to the surge, if text leads without a gap
+    from one to the other."""
+    first = at = surge
+    while at and lengths[at - 1] > 0:
+        at -= 1
+        if lines[at][3] in _HEADINGS:
+            first = at
+    return [lines[i][0] for i in range(first, surge)]
+
+
 def main_text(page: str | None) -> str:
     return "\n".join(main_lines(lines_of(page))) if page else ""
 

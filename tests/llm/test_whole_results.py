@@ -95,7 +95,42 @@ def test_html_wrappers_and_teasers_keep_the_article():
     assert "Their past" in html_extract.main_text(f"<article><p>{text}</p><section id='social-history'>Their past</section></article>")
     plain = f"<body><div class='content'><p>{text}</p><p>{text}</p></div><article><p>A teaser.</p></article></body>"
     assert html_extract.main_text(plain).startswith(text.strip() + "\n" + text.strip())
-    most = f"<body><div id='comments'><p>{text}</p></div><p>Short.</p></body>"
-    assert text.strip() in html_extract.main_text(most)
+    most = f"<body><p>{text}</p><div id='comments'><p>{text * 3}</p></div></body>"
+    assert html_extract.main_text(most) == text.strip()
     less = f"<body><p>{text}</p><div class='cookie-notice'>We use them.</div><div class='ad box'>buy</div></body>"
     assert html_extract.main_text(less) == text.strip()
+
+
+def test_html_noise_goes_whatever_its_size():
+    article, long = "word " * 20, "noise " * 60
+    for noise in ("<div id='comments'><p>{}</p></div>", "<div class='sidebar'><p>{}</p></div>", "<div role='alert'>{}</div>",
+                  "<aside>{}</aside>", "<div class='cookie-notice'><div><p>{}</p></div></div>"):
+        noise = noise.format(long)
+        assert html_extract.main_text(f"<body><p>{article}</p>{noise}</body>") == article.strip()
+        assert html_extract.main_text(f"<body><article><p>{article}</p>{noise}</article></body>") == article.strip()
+        assert html_extract.main_text(f"<body>{noise}</body>") == ""
+    inside = f"<article><p>{article}</p><section class='comments'><p>{long}</p></section></article>"
+    assert html_extract.main_text(inside) == article.strip()
+
+
+def test_html_headings_and_link_paragraphs():
+    text = "word " * 40
+    short = "<h1>Title</h1><p>First few words.</p><p>Then some more.</p>"
+    want = "Title\nFirst few words.\nThen some more."
+    assert html_extract.main_text(f"<body>{short}</body>") == want
+    assert html_extract.main_text(f"<body><ul><li><a href='/'>Home</a></ul>{short}<p>{text}</p></body>") == want + "\n" + text.strip()
+    assert html_extract.main_text("<p><a href=x>only a link</a></p>") == "only a link"
+    assert html_extract.main_text("<ul><li><a href=x>only a menu</a></li></ul>") == ""
+    assert html_extract.main_text(f"<p>{text}</p><p><a>see this</a></p><p>{text}</p>").split("\n")[1] == "see this"
+    head = f"<article><header><h1>Title</h1><p>By someone</p></header><p>{text}</p></article><header><h1>Site</h1></header>"
+    assert html_extract.main_text(head) == "Title\n" + text.strip()
+    assert html_extract.main_text("<article><p>so <math><mi>x</mi></math> is <object>no plugin</object></p></article>") == "so x is"
+
+
+def test_html_edges(spark):
+    rows = [(1, None, "u"), (2, "<article><p>" + "wide words " * 100_000 + "</p></article>", "v"), (2, "<p>", None), (None, "<p", "w")]
+    df = spark.createDataFrame([(*r, "old", 3) for r in rows], "page_id long, html string, url string, text string, n_chars int")
+    got = html_extract.extract_text(df)
+    assert got.columns == df.columns
+    assert [(r["page_id"], len(r["text"])) for r in got.collect()] == [(1, 0), (2, 1_099_999), (2, 0), (None, 0)]
+    assert html_extract.extract_text(df.limit(0)).count() == 0
