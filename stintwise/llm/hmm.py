@@ -8,9 +8,15 @@ has the probability (c + 0.1) / (their total), an unknown word 0.1 of it.
 So every symbol sequence times its words' shares is one proper distribution.
 
 *Baum-Welch*: each round, every task runs scaled forward and backward
-recursions over its training texts, cut into ``SEGMENT`` tokens, all segments
-in step; expected transitions and emissions are summed across partitions
-(emissions by blocks of the vocabulary) and give the next round's tables.
+recursions over its training texts, in segments of ``SEGMENT`` tokens, all
+in step. A segment shares one token with the next, so every transition, every
+token and every start of a text is counted once; inner segments start from the
+stationary distribution. Expected counts are summed across partitions
+(emissions by blocks of the vocabulary) and give the next round's tables, until
+a round gains less than ``GAIN`` of the likelihood, or after ``ROUNDS``.
+*Smoothing*: every state's emissions get the base's 0.1 a word, in the
+state's share of all tokens, and ``PRIOR`` tokens of the base distribution, so an
+unknown word has its base probability in every state.
 *Scores*: a scaled forward recursion over each whole text, never cut.
 
 Defined results: null and empty texts are one end token; a null id is not
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-STATES, VOCAB, ROUNDS, SEGMENT = 6, 1 << 17, 4, 96
+STATES, VOCAB, ROUNDS, SEGMENT, GAIN = 6, 1 << 17, 4, 96, 1e-3
 ADD, PRIOR, BLOCK = 0.1, 50.0, 4096
 END = b""          # no word is empty
 _SLICE = 400_000   # tokens that a recursion with kept rows holds at once
@@ -117,35 +123,49 @@ def in_step(lengths: np.ndarray, size: int = _SLICE) -> Iterator[np.ndarray]:
         yield order[at:]
 
 
-def forward(seqs: list[np.ndarray], t: Tables, keep: bool = False):
+def forward(seqs: list[np.ndarray], t: Tables, keep: bool = False, inner: np.ndarray | None = None):
     """Scaled forward recursion of sequences sorted longest first, in step.
-    Returns log probabilities and, if kept, each step's scaled rows and scales."""
+    Returns log probabilities and, if kept, each step's scaled rows and scales.
+    ``inner`` sequences go on within a text: they start from the stationary
+    distribution, and their first token is another's last and not counted."""
     lengths = np.array([len(s) for s in seqs])
     steps = int(lengths[0])
     active = np.searchsorted(-lengths, -np.arange(steps), side="left")   # rows longer than the step
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     flat = np.concatenate(seqs)
     total, rows = np.zeros(len(seqs)), []
+    first = t.start if inner is None else np.where(inner[:, None], stationary(t.move), t.start)
     a = None
     for k in range(steps):
         n = active[k]
         e = t.emit[flat[starts[:n] + k]]
-        a = (t.start * e) if k == 0 else (a[:n] @ t.move) * e
+        a = (first * e) if k == 0 else (a[:n] @ t.move) * e
         c = a.sum(axis=1)
         a /= c[:, None]
-        total[:n] += np.log(c)
+        total[:n] += np.log(c) if k or inner is None else np.where(inner, 0.0, np.log(c))
         if keep:
             rows.append((a, c, e))
     return total, rows, active, starts, flat
 
 
-def expected_counts(seqs: list[np.ndarray], t: Tables) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions of the sequences."""
+def stationary(move: np.ndarray) -> np.ndarray:
+    """The distribution of states that ``move`` leaves as it is."""
+    n = len(move)
+    rows = np.vstack([move.T - np.eye(n), np.ones(n)])
+    p = np.maximum(np.linalg.lstsq(rows, np.append(np.zeros(n), 1.0), rcond=None)[0], 0.0)
+    return p / p.sum()
+
+
+def expected_counts(seqs: list[np.ndarray], t: Tables,
+                    inner: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Expected starts, transitions and emissions of the sequences, and their log
+    probability; see ``forward`` for ``inner``."""
+    inner = np.zeros(len(seqs), bool) if inner is None else inner
     states = len(t.start)
     start, move, emit, score = np.zeros(states), np.zeros_like(t.move), np.zeros(t.emit.shape), 0.0
     lengths = np.array([len(s) for s in seqs])
     for group in in_step(lengths):
-        total, rows, active, starts, flat = forward([seqs[i] for i in group], t, keep=True)
+        total, rows, active, starts, flat = forward([seqs[i] for i in group], t, keep=True, inner=inner[group])
         score += total.sum()
         gamma = np.empty((len(flat), states))
         b = np.ones((0, states))
@@ -163,22 +183,36 @@ def expected_counts(seqs: list[np.ndarray], t: Tables) -> tuple[np.ndarray, np.n
             else:
                 b = np.ones((n, states))
             gamma[starts[:n] + k] = a * b
-        start += gamma[starts].sum(axis=0)
+        start += gamma[starts[~inner[group]]].sum(axis=0)
+        gamma[starts[inner[group]]] = 0.0
         for s in range(states):
             emit[:, s] += np.bincount(flat, gamma[:, s], minlength=len(emit))
     return start, move, emit, score
 
 
-def segments(ids: list[bytes], size: int = SEGMENT) -> list[np.ndarray]:
-    out = []
+def segments(ids: list[bytes], size: int = SEGMENT) -> tuple[list[np.ndarray], np.ndarray]:
+    """Pieces of ``size`` transitions, each but a text's first beginning with the
+    last token of the one before, and which of them do."""
+    out, inner = [], []
     for b in ids:
         seq = np.frombuffer(b, np.int32)
-        out.extend(seq[i:i + size] for i in range(0, len(seq), size))
-    return out
+        cuts = range(0, max(len(seq) - 1, 1), size)
+        out.extend(seq[i:i + size + 1] for i in cuts)
+        inner.extend(i > 0 for i in cuts)
+    return out, np.array(inner, bool)
+
+
+def smoothed(emit: np.ndarray, frequency: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """P(symbol | state) from expected counts. ``words``: how many words, the
+    unknown one among them, each symbol stands for."""
+    share = emit.sum(axis=0) / max(emit.sum(), 1e-300)
+    emit = emit + ADD * words[:, None] * share + PRIOR * frequency[:, None]
+    return emit / emit.sum(axis=0)
 
 
-def baum_welch_round(coded: DataFrame, t: Tables, frequency: np.ndarray) -> tuple[Tables, float]:
-    """One round over all training rows. Partial counts are summed by Spark;
+def baum_welch_round(coded: DataFrame, t: Tables, frequency: np.ndarray, words: np.ndarray) -> tuple[Tables, float]:
+    """One round over all training rows: the next tables and the log probability
+    of the rows by the present ones. Partial counts are summed by Spark;
     what comes back is bounded by the tables' size."""
     shared = coded.sparkSession.sparkContext.broadcast(t)
     states, symbols = len(t.start), len(frequency)
@@ -187,10 +221,10 @@ def baum_welch_round(coded: DataFrame, t: Tables, frequency: np.ndarray) -> tupl
         now, any_rows = shared.value, False
         start, move, emit, score = np.zeros(states), np.zeros((states, states)), np.zeros((symbols, states)), 0.0
         for batch in batches:
-            seqs = segments(batch["ids"])
+            seqs, inner = segments(batch["ids"])
             if seqs:
                 any_rows = True
-                s, m, e, x = expected_counts(seqs, now)
+                s, m, e, x = expected_counts(seqs, now, inner)
                 start += s
                 move += m
                 emit += e
@@ -217,8 +251,7 @@ def baum_welch_round(coded: DataFrame, t: Tables, frequency: np.ndarray) -> tupl
     head = np.frombuffer(got[-1])
     start, move, score = head[:states] + 1, head[states:-1].reshape(states, states) + 1, float(head[-1])
     emit = np.concatenate([np.frombuffer(got[i]).reshape(-1, states) for i in range(-(-symbols // BLOCK))])
-    emit = emit + PRIOR * frequency[:, None]
-    return Tables(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0)), score
+    return Tables(start / start.sum(), move / move.sum(axis=1, keepdims=True), smoothed(emit, frequency, words)), score
 
 
 def sequence_scores(coded: DataFrame, t: Tables, symbol_log: np.ndarray) -> DataFrame:
@@ -267,9 +300,13 @@ def score_documents(docs: DataFrame, states: int = STATES, vocab_size: int = VOC
     frequency /= frequency.sum()
 
     coded = written(encoded(docs, vocab), "symbols")
-    t = first_tables(frequency, states)
+    t, last = first_tables(frequency, states), None
+    words = np.append(np.ones(len(vocab)), rest + 1)
     for _ in range(rounds if n else 0):
-        t, _ = baum_welch_round(coded, t, frequency)
+        t, score = baum_welch_round(coded, t, frequency, words)
+        if last is not None and score - last < GAIN * abs(last):
+            break
+        last = score
 
     # words without a symbol: their counts by an equi-join on the word
     rare = coded.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.n")

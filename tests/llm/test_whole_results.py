@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from stintwise.llm import html_extract, mixing, nn_descent, prefix_forest
+from stintwise.llm import hmm, html_extract, mixing, nn_descent, prefix_forest
 from stintwise.llm.common import ship
 from stintwise.llm.graph import components
 
@@ -134,3 +134,39 @@ def test_html_edges(spark):
     assert got.columns == df.columns
     assert [(r["page_id"], len(r["text"])) for r in got.collect()] == [(1, 0), (2, 1_099_999), (2, 0), (None, 0)]
     assert html_extract.extract_text(df.limit(0)).count() == 0
+
+
+def test_hmm_unknown_word_keeps_its_base_probability():
+    rnd = np.random.default_rng(3)
+    c = rnd.integers(1, 50, 30).astype(float)
+    n, v = c.sum(), len(c)
+    words = np.append(np.ones(v), 1)
+    base = np.append(c, 0.0) + hmm.ADD * words
+    frequency = base / base.sum()
+    emit = np.vstack([rnd.dirichlet(np.ones(v), 4).T * n / 4, np.zeros(4)])      # nothing counts for the unknown word
+    got = hmm.smoothed(emit, frequency, words)
+    assert np.allclose(got.sum(axis=0), 1)
+    assert np.allclose(got[-1], hmm.ADD / (n + hmm.ADD * (v + 1)))
+    # several known words without a symbol: their counts are learnt, the unknown one's share is not lost
+    emit[-1] = [5.0, 0.0, 1.0, 2.0]
+    assert (hmm.smoothed(emit, frequency, words)[-1] >= hmm.ADD / (n + 8 + hmm.ADD * (v + 1)) * 0.99).all()
+
+
+def test_hmm_segments_count_everything_once():
+    rnd = np.random.default_rng(5)
+    texts = [rnd.integers(0, 6, k).astype(np.int32) for k in (1, 2, 5, 6, 11, 37)]
+    seqs, inner = hmm.segments([t.tobytes() for t in texts], 5)
+    t = hmm.first_tables(np.full(6, 1 / 6), 3)
+    start, move, emit, score = hmm.expected_counts(seqs, t, inner)
+    assert np.isclose(start.sum(), len(texts)) and np.isclose(move.sum(), sum(len(x) - 1 for x in texts))
+    assert np.allclose(emit.sum(axis=1), np.bincount(np.concatenate(texts), minlength=6))
+    whole = hmm.expected_counts(texts, t)
+    assert np.isclose(score, whole[3], rtol=0.02) and np.allclose(emit.sum(axis=1), whole[2].sum(axis=1))
+    p = hmm.stationary(t.move)
+    assert np.allclose(p @ t.move, p) and np.isclose(p.sum(), 1)
+
+
+def test_hmm_scores_held_out_texts_above_the_base(spark):
+    for sf in ("sf0.001", "sf0.01"):
+        held = hmm.op7_hmm(spark, f"/root/testdata/{sf}").where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
+        assert held[0] > held[1]
