@@ -10,6 +10,8 @@ import xxhash
 
 DIMS = 1 << 18
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: The same for texts without digits and underscores, as most are.
+_PLAIN, _OTHER = re.compile(r"\w+|[^\w\s]+"), re.compile(r"[\d_]")
 _MEMO_SIZE = 150_000
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -35,21 +37,22 @@ class NgramHasher:
         return h
 
     def __call__(self, text: str | None) -> np.ndarray:
-        tokens = _TOKEN.findall(text) if text else []
+        tokens = (_TOKEN if _OTHER.search(text) else _PLAIN).findall(text) if text else []
         self.tokens = len(tokens)           # of the last text
         if not tokens:
             return np.empty(0, np.int32)
-        codes = list(map(self.memo.get, tokens))
-        if None in codes:
-            memo, code = self.memo, self._code
-            codes = [memo.get(t) or code(t) for t in tokens]
+        codes, at = list(map(self.memo.get, tokens)), -1
+        for _ in range(codes.count(None)):
+            at = codes.index(None, at + 1)
+            codes[at] = self.memo.get(tokens[at]) or self._code(tokens[at])
         h = np.fromiter(codes, np.uint64, len(codes))
         pairs = h[:-1] * _P + (h[1:] ^ (h[1:] >> np.uint64(29)))
-        shape = h & np.uint64(7)
-        shape[1:] += np.uint64(8) * (h[1:] == h[:-1])
-        three = (shape[:-2] * np.uint64(16) + shape[1:-1]) * np.uint64(16) + shape[2:] + np.uint64(1)
-        every = np.concatenate([h, pairs, np.unique(three) << np.uint64(33)]) * _P >> np.uint64(40)
-        return np.unique(every.astype(np.int64) % self.dims).astype(np.int32)
+        shape = (h & np.uint64(7)).astype(np.int32)
+        shape[1:] += 8 * (h[1:] == h[:-1])
+        three = np.flatnonzero(np.bincount((shape[:-2] * 16 + shape[1:-1]) * 16 + shape[2:] + 1)).astype(np.uint64)
+        every = np.concatenate([h, pairs, three << np.uint64(33)]) * _P >> np.uint64(40)     # 24 bits
+        out = np.sort(every.astype(np.int32) % np.int32(self.dims))
+        return out[np.append(True, out[1:] != out[:-1])]
 
 
 def presence_counts(feats: Iterable[np.ndarray], dims: int) -> np.ndarray:

@@ -90,20 +90,24 @@ class PieceBpe:
 
     def split(self, word: str) -> list[str]:
         """Pieces (or characters outside the vocabulary) of one word."""
-        n, done, none = len(word), 0, {}
+        n, done = len(word), 0
         last = [""] * (n + 1)           # last token of each prefix
+        after: list = [None] * (n + 1)  # what is known to follow it
         follow = self.follow
         for at, (piece, size) in self.automaton.iter(word):
             end = at + 1
+            if last[end]:
+                continue
             while done < at:            # a prefix that no piece ends: bytes, later
                 done += 1
                 if not last[done]:
                     last[done] = word[done - 1]
-            if last[end]:
-                continue
-            left = last[end - size]
-            ok = follow.get(left, none).get(piece)
-            if ok or ok is None and self.compatible(left, piece):
+            start = end - size
+            known = after[start]
+            if known is None:
+                known = after[start] = follow.setdefault(last[start], {})
+            ok = known.get(piece)
+            if ok or ok is None and self.compatible(last[start], piece):
                 last[end] = piece
         while done < n:
             done += 1
@@ -169,13 +173,15 @@ class PieceBpe:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """(ids, SHA-256 of the ids, SHA-256 of the text decoded from them)."""
-        seen, one, got = self.young, self._word, []
-        for w in self.words(text or ""):
-            got.append(seen.get(w) or one(w))
-            seen = self.young
-        ids = ",".join([g[1] for g in got])
-        back = "".join([g[2] for g in got]).removeprefix(" ")
-        return (sum([g[0] for g in got]), hashlib.sha256(ids.encode()).hexdigest(),
+        words, at = self.words(text or ""), -1
+        got = list(map(self.young.get, words))
+        for _ in range(got.count(None)):
+            at = got.index(None, at + 1)
+            got[at] = self.young.get(words[at]) or self._word(words[at])
+        sizes, parts, texts = zip(*got) if got else ((), (), ())
+        ids = ",".join(parts)
+        back = "".join(texts).removeprefix(" ")
+        return (sum(sizes), hashlib.sha256(ids.encode()).hexdigest(),
                 hashlib.sha256(back.encode()).hexdigest())
 
 
