@@ -62,6 +62,7 @@ class Cells:
 
     pivots: np.ndarray
     block: int = BLOCK
+    asked: int = 0                  # queries of the index
     count: np.ndarray | None = None
     nearest: np.ndarray | None = None
     farthest: np.ndarray | None = None
@@ -95,14 +96,20 @@ class Cells:
     def blocks(self) -> np.ndarray:
         return -(-self.count // self.block)
 
+    def query_group(self, own: np.ndarray) -> np.ndarray:
+        """Cells whose queries are asked together: as many as hold about a block
+        of them, one if a cell alone does."""
+        return own // max(1, len(self.pivots) * self.block // max(self.asked, 1))
+
 
 def choose_pivots(points: DataFrame, most: int = PIVOTS, block: int = BLOCK) -> dict[int, Cells]:
-    """Up to the root of an index's number of careers, those with the least hash."""
+    """A quarter of the root of an index's number of careers, those with the least
+    hash: cells of a few dozen careers would cost more to hand out than to compare."""
     sizes = {r["season_index"]: (r["n"], r["d"]) for r in points.groupBy("season_index").agg(
         F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).collect()}     # one row per index
     dims = sum(d for _, d in sizes.values())
     most = max(1, min(most, MAX_BROADCAST_BYTES // (8 * max(dims, 1))))
-    per = max([min(most, int(np.ceil(np.sqrt(n)))) for n, _ in sizes.values()], default=1)
+    per = max([min(most, int(np.ceil(np.sqrt(n) / 4))) for n, _ in sizes.values()], default=1)
     w = Window.partitionBy("season_index").orderBy(F.xxhash64("entity"), "entity")
     chosen: dict[int, list] = {}
     for r in points.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per).collect():
@@ -172,7 +179,7 @@ def visits(queries: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
                 part = out["spread"].to_numpy() % blocks[out["cell"].to_numpy()]
                 yield pd.DataFrame({
                     "season_index": index, "cell": cell.astype(np.int32), "block": block.astype(np.int32),
-                    "near": out["cell"].to_numpy(), "part": part.astype(np.int32), "name": out["entity"].to_numpy(),
+                    "near": c.query_group(out["cell"].to_numpy()), "part": part.astype(np.int32), "name": out["entity"].to_numpy(),
                     "year": out["period"].to_numpy(), "vec": out["vec"].to_numpy(), "to_pivot": d[which, cell],
                     "limit": out["limit"].to_numpy() if again else np.full(len(out), np.inf)})
 
@@ -232,6 +239,9 @@ def nearest_careers(players: DataFrame, spec: SeasonSpec, targets: DataFrame, k:
         "block", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
     ask = targets.select(F.col(spec.entity).alias("entity")).distinct()
     queries = members.select("entity", "period", "season_index", "vec", "cell").join(ask, "entity", "left_semi")
+    queries = cut_lineage(queries, "career-queries")
+    for r in queries.groupBy("season_index").count().collect():             # one row per index
+        cells[r["season_index"]].asked = r["count"]
 
     first = cut_lineage(compare(visits(queries, cells, k), members, k), "first-visits")
     order = Window.partitionBy("season_index", "name").orderBy("d2", "other")
