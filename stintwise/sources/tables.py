@@ -73,9 +73,10 @@ def _cents(c: str) -> Column:
 
 def _line_sums() -> list[Column]:
     """Per-group sums of line values. Money is summed in whole cents (TPC-H
-    money is decimal(15,2)): sums of integer-valued doubles are exact below
-    2^53, so the result does not depend on summation order (and thus on
-    partitioning), and stays a fast double sum without overflow."""
+    money is decimal(15,2)): sums of integer-valued doubles are exact while a
+    group's sum stays below 2^53 (90 trillion in cents; ``s_net``, in cents times
+    percents, 0.9 trillion), so up to there the result does not depend on
+    summation order (and thus on partitioning). Beyond, the last bits do."""
     return [
         F.count(F.lit(1)).alias("n_lines"),
         F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("n_r"),
