@@ -74,3 +74,19 @@ def test_local_copy_has_no_cap(spark, tmp_path):
     got = pq.read_table(path)
     assert got.num_rows == 250_000 and got["name"].null_count == 83_334
     assert save_local(df.limit(0), path) == 0 and pq.read_table(path).column_names == ["id", "name"]
+
+
+def test_entry_works_without_the_optional_subpackage(tmp_path):
+    """A dependency of the optional operators that cannot be imported costs
+    those queries only."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    (tmp_path / "ahocorasick.py").write_text("raise ImportError('not here')")
+    code = ("import sys; sys.path[:0] = %r; import __spark_entry__ as E; q = E.queries(); "
+            "print('season_scores' in q, [k for k in q if k.startswith('op')], set(E.oracle_sql()) == set(q))"
+            % [str(tmp_path), ROOT])
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=str(tmp_path), timeout=120)
+    assert out.stdout.strip() == "True [] True", out.stderr[-500:]
