@@ -7,17 +7,20 @@ p_dk over K domains. The document rates r_d >= 0 solve
 
 where w_d is the document's share of all tokens, E_k the domain's expected
 share and T_k its target, so expected domain token totals match the targets
-with rates near one. At the optimum r_d = max(0, 1 - p_d.y / PULL) with
-y_k = (sum_d w_d r_d p_dk - T_k) / E_k, so a K-vector y gives every rate. It is
-the minimum of the smooth, strongly convex dual
-
-    1/2 sum_k E_k y_k^2 + sum_k T_k y_k + PULL/2 sum_d w_d max(0, 1 - p_d.y / PULL)^2
-
-and found by Newton steps with a line search: each needs only K sums and the
-K x K Gram matrix of the documents with a positive rate, which Spark aggregates
-for all trial lengths at once. No rate table is carried along, and a lost
-executor recomputes its part from the written posteriors. The steps end when
-the residual of the optimality condition is below ``TOLERANCE``.
+with rates near one.
+
+Solved by distributed projected gradient: a step moves every rate against its
+gradient p_d.y + PULL (r_d - 1), y_k = (sum_d w_d r_d p_dk - T_k) / E_k, sets
+negative ones to zero and goes towards that point. Step lengths are spectral
+(from the curvature met by the step before), and a step is taken whole unless
+the objective, known exactly along it, would rise above its last ``MEMORY``
+values; then it ends at the lowest point. A pass over the documents sums
+K-vectors and a few numbers by Spark, whatever the number of documents. A rate
+is a formula of its posterior and the steps so far, K + 2 numbers each, so no
+rate table is carried along and a lost executor recomputes its part from the
+written posteriors. The steps end when a projected gradient step of length one
+would move the rates (root mean square by tokens) by less than ``TOLERANCE`` *
+PULL, which bounds their distance from the optimum by about 2 ``TOLERANCE``.
 
 Targets are shares, so one common factor on all rates is free: it is set so
 that the documents whose likeliest domain is the reference domain are kept
@@ -36,6 +39,7 @@ tables give no row.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,7 +52,7 @@ from .ngrams import NgramHasher
 
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.97, "low_quality": 0.02, "toxic": 0.01}
-PULL, TOLERANCE, TRIALS = 0.01, 1e-5, 8
+PULL, TOLERANCE, MEMORY = 0.01, 1e-5, 10
 
 
 def domain_label() -> Column:
@@ -79,10 +83,8 @@ def posteriors(docs: DataFrame, models: list[nbsvm.Model]) -> DataFrame:
     def mix(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hasher = NgramHasher(dims)
         for batch in texts:
-            feats, n = [], []
-            for t in batch:
-                feats.append(hasher(t))
-                n.append(hasher.tokens)
+            found = list(hasher.many(batch))
+            feats, n = [f for f, _ in found], [tokens for _, tokens in found]
             p = np.column_stack([m.scores(feats) for m in shared.value])
             p /= p.sum(axis=1, keepdims=True)
             yield pd.DataFrame({"n_tokens": n, "p": list(p)})
@@ -90,89 +92,114 @@ def posteriors(docs: DataFrame, models: list[nbsvm.Model]) -> DataFrame:
     return docs.withColumn("_mix", mix(F.col("text")))
 
 
-def rates_of(p: np.ndarray, dual: np.ndarray, pull: float = PULL) -> np.ndarray:
-    """Rates of documents with posteriors ``p`` at the dual K-vector (or at
-    each column of a matrix of them); zero gives rates of one."""
-    return np.maximum(0.0, 1.0 - p @ dual / pull)
+@dataclass
+class Step:
+    """From rates r towards max(0, r - length * gradient), by ``share``."""
+    y: np.ndarray
+    length: float
+    share: float
+
+
+def _toward(p: np.ndarray, r: np.ndarray, y: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient at rates ``r`` and the way to the projected point."""
+    g = p @ y + PULL * (r - 1)
+    return g, np.maximum(0.0, r - length * g) - r
+
+
+def rates_of(p: np.ndarray, steps: list[Step]) -> np.ndarray:
+    """Rates of documents with posteriors ``p`` after ``steps``; one at first."""
+    r = np.ones(len(p))
+    for s in steps:
+        r = r + s.share * _toward(p, r, s.y, s.length)[1]
+    return r
 
 
-def _sums(mixed: DataFrame, duals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of ``duals``, by Spark: sum_d tokens_d r_d p_dk, the Gram
-    matrix of tokens_d p_d over positive rates, and sum_d tokens_d r_d^2."""
-    m, k = duals.shape
+def _matrix(b: pd.DataFrame, k: int) -> np.ndarray:
+    return np.column_stack([b[f"p{i}"].to_numpy(np.float64) for i in range(k)])
+
+
+def _flat(mixed: DataFrame, k: int) -> DataFrame:
+    """n_tokens and p0.. of every row, which Arrow passes without boxing."""
+    return mixed.select("_mix.n_tokens", *[F.col("_mix.p")[i].alias(f"p{i}") for i in range(k)])
+
+
+def _sums(mixed: DataFrame, k: int, steps: list[Step], y: np.ndarray, length: float) -> np.ndarray:
+    """By Spark, over all documents with weights w (tokens), rates r after
+    ``steps`` and d the next step: the sums of w r p, w d p, w, w d^2, w g d,
+    w (r - 1)^2, and w u^2 with u the step of length one."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums, gram, square = np.zeros((m, k)), np.zeros((m, k, k)), np.zeros(m)
+        out = np.zeros(2 * k + 5)
         for b in batches:
-            if len(b):
-                p, w = np.stack(b["p"].to_numpy()), b["n_tokens"].to_numpy(np.float64)
-                r = rates_of(p, duals.T)
-                sums += (w[:, None] * r).T @ p
-                square += w @ (r * r)
-                for i in range(m):
-                    gram[i] += (p * (w * (r[:, i] > 0))[:, None]).T @ p
-        out = np.concatenate([sums.ravel(), gram.ravel(), square])
+            p, w = _matrix(b, k), b["n_tokens"].to_numpy(np.float64)
+            r = rates_of(p, steps)
+            g, d = _toward(p, r, y, length)
+            u = _toward(p, r, y, 1.0)[1]
+            out += np.concatenate([(w * r) @ p, (w * d) @ p,
+                                   [w.sum(), w @ (d * d), w @ (g * d), w @ (r - 1) ** 2, w @ (u * u)]])
         yield pd.DataFrame({"at": range(len(out)), "s": out})
 
-    got = mixed.select("_mix.n_tokens", "_mix.p").mapInPandas(part, "at int, s double").groupBy("at").agg(F.sum("s"))
-    out = np.zeros(m * (k + k * k + 1))
+    got = _flat(mixed, k).mapInPandas(part, "at int, s double").groupBy("at").agg(F.sum("s"))
+    out = np.zeros(2 * k + 5)
     for i, s in got.collect():
         out[i] = s
-    return out[:m * k].reshape(m, k), out[m * k:m * (k + k * k)].reshape(m, k, k), out[m * (k + k * k):]
+    return out
 
 
 def solve(mixed: DataFrame, targets: dict[str, float] = TARGETS, reference: str = "clean",
-          domains=DOMAINS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dual K-vector, target shares and reached shares (of today's tokens)."""
+          domains=DOMAINS) -> tuple[list[Step], np.ndarray, np.ndarray]:
+    """Steps to the optimum, target shares and reached shares (of today's tokens)."""
     k = len(domains)
-    y = np.zeros(k)
-    sums, grams, squares = _sums(mixed, y[None, :])
-    total = sums[0].sum()
+    steps: list[Step] = []
+    first = _sums(mixed, k, steps, np.zeros(k), 0.0)
+    total = first[2 * k]
     if total == 0:
-        return y, np.zeros(k), np.zeros(k)
-    now, gram = sums[0] / total, grams[0] / total
+        return steps, np.zeros(k), np.zeros(k)
+    now = first[:k] / total
     e = np.maximum(now, 1e-9)
     t = np.array([targets[d] for d in domains])
     t = t / t.sum()
     t = t / t[domains.index(reference)] * e[domains.index(reference)]
-    value, longest = PULL / 2 * squares[0] / total, 1.0
-    while (abs(now - t - e * y) / np.maximum(t, e)).max() >= TOLERANCE:
-        step = np.linalg.solve(np.diag(e) + gram / PULL, now - t - e * y)
-        trial = y + longest * 0.5 ** np.arange(TRIALS)[:, None] * step
-        sums, grams, squares = _sums(mixed, trial)
-        values = 0.5 * (trial * trial) @ e + trial @ t + PULL / 2 * squares / total
-        best = values.argmin()
-        if values[best] < value:
-            y, now, gram, value, longest = trial[best], sums[best] / total, grams[best] / total, values[best], 1.0
-        elif longest < 1e-12:       # no shorter step can be told apart in doubles
-            break
-        else:
-            longest *= 0.5 ** TRIALS
-    return y, t, now
-
-
-def common_factor(mixed: DataFrame, dual: np.ndarray, reference: int = 0) -> float:
+    length, values = 1 / (1 + PULL), []
+    while True:
+        y = (now - t) / e
+        sums = _sums(mixed, k, steps, y, length) / total
+        way, (square, slope, off, unit) = sums[k:2 * k], sums[2 * k + 1:]
+        if np.sqrt(unit) < TOLERANCE * PULL:
+            return steps, t, now
+        value = 0.5 * ((now - t) ** 2 / e).sum() + PULL / 2 * off
+        curve = (way * way / e).sum() + PULL * square
+        values = [*values, value][-MEMORY:]
+        if curve <= 0 or -slope <= 1e-15 * value:     # no gain left that doubles can tell
+            return steps, t, now
+        share = 1.0 if value + slope + curve / 2 <= max(values) + 1e-4 * slope else min(1.0, -slope / curve)
+        steps.append(Step(y, length, share))
+        now = sums[:k] + share * way
+        length = square / curve
+
+
+def common_factor(mixed: DataFrame, steps: list[Step], reference: int = 0, k: int = len(DOMAINS)) -> float:
     """One over the mean rate of the reference domain's documents (by Spark)."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, s = 0, 0.0
         for b in batches:
             if len(b):
-                p = np.stack(b["p"].to_numpy())
-                r = rates_of(p, dual)[p.argmax(axis=1) == reference]
+                p = _matrix(b, k)
+                r = rates_of(p, steps)[p.argmax(axis=1) == reference]
                 n, s = n + len(r), s + r.sum()
         yield pd.DataFrame({"n": [n], "s": [s]})
 
-    n, s = mixed.select("_mix.p").mapInPandas(part, "n long, s double").agg(F.sum("n"), F.sum("s")).first()
+    n, s = _flat(mixed, k).mapInPandas(part, "n long, s double").agg(F.sum("n"), F.sum("s")).first()
     return n / s if n and s > 0 else 1.0
 
 
-def with_rates(mixed: DataFrame, dual: np.ndarray, factor: float = 1.0) -> DataFrame:
+def with_rates(mixed: DataFrame, steps: list[Step], factor: float = 1.0) -> DataFrame:
     """``mixed`` with ``_rate`` and ``_copies``."""
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
-        return pd.Series(factor * rates_of(np.stack(p.to_numpy()), dual) if len(p) else [], dtype=float)
+        return pd.Series(factor * rates_of(np.stack(p.to_numpy()), steps) if len(p) else [], dtype=float)
 
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return (mixed.withColumn("_rate", rate(F.col("_mix.p")))
@@ -182,8 +209,8 @@ def with_rates(mixed: DataFrame, dual: np.ndarray, factor: float = 1.0) -> DataF
 def mix_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` emitted as often as their rates say (same columns)."""
     mixed = written(posteriors(docs, fit_domains(docs, labels)), "mixing")
-    dual, _, _ = solve(mixed, targets)
-    out = with_rates(mixed, dual, common_factor(mixed, dual)).where("_copies > 0")
+    steps, _, _ = solve(mixed, targets)
+    out = with_rates(mixed, steps, common_factor(mixed, steps)).where("_copies > 0")
     again = F.explode(F.array_repeat(F.lit(0), F.col("_copies")))
     return out.withColumn("_again", again).select(*docs.columns)
 
@@ -193,9 +220,9 @@ def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     models = fit_domains(docs, table(spark, sf_dir, "labels"))
     mixed = written(posteriors(docs, models).drop("text"), "mixing")
-    dual, targets, reached = solve(mixed)
-    factor = common_factor(mixed, dual)
-    got = with_rates(mixed, dual, factor)
+    steps, targets, reached = solve(mixed)
+    factor = common_factor(mixed, steps)
+    got = with_rates(mixed, steps, factor)
     return got.select(
         "doc_id", F.col("_mix.n_tokens").alias("n_tokens"),
         *[F.col("_mix.p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)],

@@ -117,7 +117,7 @@ def class_counts(rows: DataFrame, classes: int, dims: int = DIMS) -> tuple[np.nd
             for k in range(classes):
                 texts = batch.loc[batch["label"] == k, "text"]
                 seen[k] += len(texts)
-                counts[k] += presence_counts(map(hasher, texts), dims)
+                counts[k] += presence_counts((f for f, _ in hasher.many(texts)), dims)
         for k in range(classes):
             f = np.flatnonzero(counts[k])
             yield pd.DataFrame({"label": k, "feature": np.append(f, -1), "n": np.append(counts[k][f], seen[k])})
@@ -141,7 +141,7 @@ def sample_features(rows: DataFrame, share: float, dims: int = DIMS) -> tuple[li
     def feats(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher = NgramHasher(dims)
         for batch in texts:
-            yield batch.map(lambda t: hasher(t).tobytes(), na_action=None)
+            yield pd.Series([f.tobytes() for f, _ in hasher.many(batch)], dtype=object)
 
     got = (rows.where(key < F.lit(int(share * (1 << 20)) + 1))
            .select("doc_id", "label", feats(F.col("text")).alias("f"), F.pmod(key, F.lit(5)).alias("fold"))
@@ -201,7 +201,7 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hasher, fitted = NgramHasher(dims), shared.value
         for batch in texts:
-            yield pd.Series(fitted.scores([hasher(t) for t in batch]))
+            yield pd.Series(fitted.scores([f for f, _ in hasher.many(batch)]))
 
     out = docs.withColumn("score", score(F.col("text")))
     return out.withColumn("predicted", (F.col("score") >= ACCEPT).cast("int"))

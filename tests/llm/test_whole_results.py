@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 
-from stintwise.llm import hmm, html_extract, mixing, nn_descent, prefix_forest
+from stintwise.llm import hmm, html_extract, mixing, ngrams, nn_descent, prefix_forest
 from stintwise.llm.common import ship
 from stintwise.llm.graph import components
 
@@ -84,6 +86,35 @@ def test_mixing_of_soft_posteriors_reaches_the_optimum(spark):
     assert np.allclose(reached, (w * r) @ p, atol=1e-5)
 
 
+def test_mixing_takes_few_projected_steps(spark):
+    rnd = np.random.default_rng(9)
+    p = np.vstack([rnd.dirichlet([0.1, 0.02, 0.01], size=300), [[1 / 3, 1 / 3, 1 / 3]]])
+    rows = [(i, (int(n), [float(x) for x in v])) for i, (n, v) in enumerate(zip(rnd.integers(0, 200, 301), p))]
+    mixed = spark.createDataFrame(rows, "doc_id long, _mix struct<n_tokens:long, p:array<double>>")
+    steps, target, _ = mixing.solve(mixed, {"clean": 0.98, "low_quality": 0.01, "toxic": 0.01})
+    assert 0 < len(steps) < 40
+    last = steps[-1]
+    assert all(s.share > 0 and s.length > 0 for s in steps)
+    assert abs(mixing.rates_of(p, steps) - mixing.rates_of(p, steps[:-1])).max() < 1e-3
+    assert (mixing.rates_of(p, steps) >= 0).all() and last.y.shape == (3,)
+    assert mixing.solve(mixed.limit(0))[0] == []
+
+
+def test_tokens_are_runs_of_one_class():
+    want = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+    for text in (None, "", " ", "a", "A_b9 12,,x", "\n\x1c\u3000é² ١٢ 漢字!?\U0001f600\U000e0041__", "ABCD abcd Abcd " * 5, "x" * 70_000):
+        number, start = ngrams.token_numbers(text or "")
+        found = list(want.finditer(text or ""))
+        assert start.tolist() == [m.start() for m in found]
+        name = [(m[0].lower(), len(m[0]) > 3 and m[0].isupper()) for m in found]
+        assert len(set(number.tolist())) == len(set(name)) == len(set(zip(name, number.tolist())))
+    hasher, texts = ngrams.NgramHasher(), ["one two", None, "", "THREE four five", "y " * 200_000, "one two"]
+    got = list(hasher.many(texts))
+    assert [n for _, n in got] == [2, 0, 0, 3, 200_000, 2]
+    assert all(np.array_equal(f, hasher(t)) for (f, _), t in zip(got, texts))
+    assert len(got[0][0]) == 3 and len(got[1][0]) == 0
+
+
 def test_html_wrappers_and_teasers_keep_the_article():
     text = "word " * 40
     body = f"<h2 class='section-header'>Head</h2><p>{text}</p><p class='alert'>Mind this.</p>"
