@@ -52,16 +52,19 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int,
 
 
 _SHIPPED: set[str] = set()
-ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Spark's default and ours, in rows and bytes.
+ROWS_PER_BATCH = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+BYTES_PER_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m")
 
 
 def ship(spark: SparkSession) -> None:
     """Give the executors this package's modules (once per application), for
     clusters where it is installed on the driver only. Whole texts go to Python
-    in Arrow batches; Spark's default of 10,000 rows a batch is lowered to
-    bound a worker's memory (a value set by the user stays)."""
-    if spark.conf.get(ROWS_PER_BATCH) == "10000":
-        spark.conf.set(ROWS_PER_BATCH, "1000")
+    in Arrow batches; Spark's defaults of 10,000 rows and 64 MB a batch are
+    lowered to bound a worker's memory (a value set by the user stays)."""
+    for name, default, ours in (ROWS_PER_BATCH, BYTES_PER_BATCH):
+        if spark.conf.get(name, default) == default:
+            spark.conf.set(name, ours)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
