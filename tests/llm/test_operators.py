@@ -336,7 +336,7 @@ def test_registered_sql_matches(spark):
     from stintwise.llm import queries
 
     con = duckdb.connect()
-    for name in ("pages", "conversations"):
+    for name in ("pages", "conversations", "documents", "benchmark"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got, want = queries.QUERIES[name](spark, SF), con.sql(sql)
