@@ -201,3 +201,50 @@ def test_hmm_scores_held_out_texts_above_the_base(spark):
     for sf in ("sf0.001", "sf0.01"):
         held = hmm.op7_hmm(spark, f"/root/testdata/{sf}").where("held_out").selectExpr("sum(score)", "sum(base_score)").first()
         assert held[0] > held[1]
+
+
+def test_forest_strings_and_ascent():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(50, 9))
+    normals = prefix_forest.planes(9, 3)
+    codes = prefix_forest.hash_strings(x, normals)
+    bits = (x.astype(np.float32) @ normals > 0).reshape(50, 3, prefix_forest.BITS)
+    want = [[int("".join("01"[int(b)] for b in tree), 2) for tree in row] for row in bits]
+    assert codes.tolist() == want
+    same = prefix_forest.common_bits(codes[:1], codes)
+    assert same[0].tolist() == [prefix_forest.BITS] * 3
+    assert all(same[i, t] == next(k for k in range(61) if k == 60 or bits[0, t, k] != bits[i, t, k])
+               for i in range(1, 50) for t in range(3))
+
+    # binary descent in one sorted array: runs of every prefix length
+    cells, counts = np.unique(rnd.integers(0, 1 << prefix_forest.STEP, 300), return_counts=True)
+    got = prefix_forest.run_lengths(cells, counts, cells)
+    for bits_in in range(1, prefix_forest.STEP + 1):
+        cut = prefix_forest.STEP - bits_in
+        assert got[:, bits_in - 1].tolist() == [int(counts[cells >> cut == c >> cut].sum()) for c in cells]
+
+    # two trees, depths 1 to 3: all up to the last depth that holds enough, then tree by tree
+    lengths = np.array([[9, 5, 2], [8, 4, 1]])
+    assert prefix_forest.ascent(lengths, 3).tolist() == [3, 3]
+    assert prefix_forest.ascent(lengths, 4).tolist() == [2, 3]
+    assert prefix_forest.ascent(lengths, 7).tolist() == [2, 2]
+    assert prefix_forest.ascent(lengths, 10).tolist() == [1, 2]
+    assert prefix_forest.ascent(lengths, 18).tolist() == [0, -1]
+    assert prefix_forest.ascent(np.array([[9, 5], [8, 0]]), 5).tolist() == [2, -1]
+
+
+def test_forest_of_repeated_ids_and_hot_runs_deeper_than_the_directory(spark):
+    rnd = np.random.default_rng(12)
+    x = rnd.normal(size=(400, 12))
+    x[200:] = x[200] + 1e-5 * rnd.normal(size=(200, 12))
+    rows = [(i, [float(a) for a in v], "x") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + rows[:50] + [(None, [1.0] * 12, "x")], "vec_id long, embedding array<double>, strings string")
+    got = {}
+    for r in prefix_forest.nearest(df, k=5, every=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert sorted(got) == list(range(0, 400, 20))
+    for q in range(200, 400, 20):
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        want = np.lexsort((np.arange(400), -s))[:5].tolist()
+        assert len(set(want) & {v for _, v in got[q]}) >= 4 and [r for r, _ in sorted(got[q])] == [1, 2, 3, 4, 5]
