@@ -45,7 +45,7 @@ from .vectors import matrix, packed, usable_rows
 
 TREES, BITS, STEP = 56, 60, 12
 RECALL, AUDIT, GROWTH = 0.95, 96, 1.25
-ITEMS, QUERIES = 8192, 2048
+ITEMS, QUERIES, CELLS = 8192, 2048, 64
 _RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -208,25 +208,27 @@ class Forest:
         asks = asks.select("id", "tree", cell(base).alias("parent"), cell(base + STEP).alias("cell"))
         plan = asks.groupBy("tree", "parent").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
         plan = written(plan, "cells")
-        small = broadcast_if_small(plan, plan.count(), 64)
+        cells = plan.count()
+        small = broadcast_if_small(plan, cells, 64)
         key = ["tree", "parent"]
+        # about CELLS cells of a tree are searched together, as one sorted array
+        together = F.pmod(F.xxhash64("parent"), F.lit(-(-cells // (CELLS * self.trees)))).cast("int").alias("part")
         held = self.rows.select(F.posexplode("strings").alias("tree", "string"))
         held = held.select("tree", cell(base).alias("parent"), cell(base + STEP).alias("cell")).join(small, key)
         held = held.groupBy(*key, "blocks", "cell").agg(F.count("*").alias("n"))
-        held = held.select(*key, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cell", "n",
+        held = held.select("tree", together, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "cell", "n",
                            F.lit(None).cast("long").alias("id"))
-        asks = asks.join(small, key).select(*key, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
+        asks = asks.join(small, key).select("tree", together, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"),
                                             "cell", F.lit(0).cast("long").alias("n"), "id")
 
         def search(g: pd.DataFrame) -> pd.DataFrame:
             ask = g["id"].notna().to_numpy()
             q, cells = g[ask], g[~ask].sort_values("cell")
-            mask = (1 << STEP) - 1
-            got = run_lengths(cells["cell"].to_numpy() & mask, cells["n"].to_numpy(), q["cell"].to_numpy() & mask)
+            got = run_lengths(cells["cell"].to_numpy(), cells["n"].to_numpy(), q["cell"].to_numpy())
             return pd.DataFrame({"id": q["id"].astype("int64"), "tree": q["tree"], "more": [r.tobytes() for r in got],
                                  "deepest": got[:, -1]})
 
-        got = held.unionByName(asks).groupBy(*key, "block").applyInPandas(
+        got = held.unionByName(asks).groupBy("tree", "part", "block").applyInPandas(
             search, "id long, tree int, more binary, deepest long")
         got = got.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("tree", "more"))).alias("by_tree"),
                                     F.sum("deepest").alias("deepest"))
