@@ -3,6 +3,11 @@
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet to the shared checkpoint folder and read again as the next one's docs.
 All but the last return the columns of ``documents``.
+
+Defined results: a null or empty text is judged as any other; documents without
+words are near duplicates of none; rows that repeat an id are one document
+from the near-duplicate stage on, rows without an id all pass it; an empty
+table stays empty through every stage.
 """
 
 from __future__ import annotations
