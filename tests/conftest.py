@@ -30,4 +30,16 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def views_end_with_their_module():
+    """Temp views are seen in every database, so a module's do not outlive it."""
+    yield
+    from pyspark.sql import SparkSession
+
+    s = SparkSession.getActiveSession()
+    for t in (s.catalog.listTables() if s else []):
+        if t.isTemporary:
+            s.catalog.dropTempView(t.name)
+
+
 SF_SMALL = "/root/testdata/sf0.001"

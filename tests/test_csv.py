@@ -109,3 +109,35 @@ def test_csv_seasons_saved_as_tables(spark, tmp_path):
     assert "Experience" in spark.table("seasons_csv.experience").columns
     assert spark.table("seasons_csv.similar").filter("name = 'Alpha One'").count() > 0
     drop_outputs(spark, "seasons_csv")
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_season_lines_are_built_once_and_experience_before_the_scores(spark, tmp_path):
+    from stintwise.plans.more_queries import customer_season_lines
+    from stintwise.plans.season_tables import players_from_csv
+
+    # the header and blank lines' seasons come from the written records, not from joins of their own
+    spark.sql("""SELECT id AS o_orderkey, id % 3 AS o_custkey, 100.0D AS o_totalprice, '1-URGENT' AS o_orderpriority,
+                 timestamp'1995-02-01' + make_interval(CAST(id % 2 AS INT)) AS o_orderdate FROM range(12)""").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.sql("""SELECT id % 12 AS l_orderkey, 5.0D AS l_quantity, 20.0D AS l_extendedprice, 0.05D AS l_tax, 0.1D AS l_discount,
+                 'R' AS l_returnflag, 'O' AS l_linestatus FROM range(30)""").write.parquet(f"{tmp_path}/lineitem.parquet")
+    lines = customer_season_lines(spark, str(tmp_path))
+    assert "l_orderkey" not in _optimized(lines)
+    assert lines.count() == 6 + 2 + 2                       # customer seasons, header and blank lines
+    # no shuffle of scored rows: the window by entity is behind the written table
+    assert "Window" not in _optimized(players_from_csv(spark, os.path.join(_write(tmp_path), "league_stats_*")))
+
+
+def test_every_text_is_parsed_once(spark):
+    from stintwise.operators.clean import typed_parse
+
+    raw = spark.createDataFrame([("1", " 2.5 "), ("", None), ("x", "  "), (None, "1e3x")], "a string, b string")
+    out = typed_parse(raw, {"a": "int", "b": "double"})
+    assert [tuple(r) for r in out.collect()] == [(1, 2.5, 0), (0, 0.0, 0), (None, 0.0, 1), (0, None, 1)]
+    blank = typed_parse(raw, {"a": "int", "b": "double"}, fill=None)
+    assert [tuple(r) for r in blank.collect()] == [(1, 2.5, 0), (None, None, 0), (None, None, 1), (None, None, 1)]
+    assert _optimized(out).count("cast(") == 3          # one a field, one of the number of rejects
