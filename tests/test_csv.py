@@ -141,3 +141,16 @@ def test_every_text_is_parsed_once(spark):
     blank = typed_parse(raw, {"a": "int", "b": "double"}, fill=None)
     assert [tuple(r) for r in blank.collect()] == [(1, 2.5, 0), (None, None, 0), (None, None, 1), (None, None, 1)]
     assert _optimized(out).count("cast(") == 3          # one a field, one of the number of rejects
+
+
+def test_wide_rows_are_compiled_unless_the_user_says_otherwise(spark):
+    from stintwise.session import METHOD_LIMIT_KEY, compile_wide_rows
+
+    before = spark.conf.get(METHOD_LIMIT_KEY)
+    try:
+        for given, kept in (("65535", "8000"), ("20000", "20000")):
+            spark.conf.set(METHOD_LIMIT_KEY, given)
+            compile_wide_rows(spark)
+            assert spark.conf.get(METHOD_LIMIT_KEY) == kept
+    finally:
+        spark.conf.set(METHOD_LIMIT_KEY, before)
