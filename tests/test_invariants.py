@@ -105,3 +105,23 @@ def test_bucketed_orders_need_no_order_key_shuffle(spark):
     b = sorted(map(tuple, customer_seasons(spark, SF_SMALL).collect()))
     assert a == b
     spark.sql("DROP DATABASE bucketed_test CASCADE")
+
+
+def test_rounding_of_results_is_that_of_decimals(spark):
+    """Ties, values next to a tie, every magnitude, zeros of either sign and
+    values that are no number: the same doubles as ``F.round``."""
+    from stintwise.plans.queries import finish
+
+    ties = spark.range(20_000).select(((F.col("id") * 7919 * 2 + 1) / 200_000.0).alias("x"))
+    near = ties.select(F.explode(F.array(*[F.col("x") + d for d in (0.0, 1e-13, -1e-13, 3e-12, -3e-12)])).alias("x"))
+    drawn = spark.range(20_000).select(F.explode(F.array(*[
+        F.rand(5) * 10.0 ** e for e in range(-9, 4)])).alias("x"))
+    odd = spark.createDataFrame([(v,) for v in (0.0, -0.0, 5e-6, 4.9999999999e-6, 0.123455, 1.000005, 999.999995, 999.9999951, 1e3,
+                                                1e5, 1e300, float("nan"), float("inf"), float("-inf"), None)], "x double")
+    x = near.unionByName(drawn).unionByName(odd)
+    x = x.unionByName(x.select((-F.col("x")).alias("x")))
+    a = F.abs("x")
+    plain = (F.when(a >= 1e5, F.round("x", 1)).when(a >= 1e3, F.round("x", 3)).otherwise(F.round("x", 5)) + F.lit(0.0))
+    rounded = finish(x.select(plain.cast("string").alias("want"), "x"))
+    assert rounded.where("NOT (want <=> CAST(x AS string))").collect() == []
+    assert "rint" in rounded._jdf.queryExecution().analyzed().toString().lower()      # decimals only next to a tie
